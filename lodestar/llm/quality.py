@@ -31,7 +31,9 @@ class QualityParams:
     buckets: int = 1 << 17
     dim: int = 16
     grams: tuple[int, ...] = (3, 4)
-    epochs: int = 4
+    #: How often the mark that ends every text counts: what is known of all texts weighs more on short ones.
+    ends: int = 16
+    epochs: int = 5
     rate: float = 0.25
     seed: int = 7
     #: How many rejected shares of the bad documents a kept share of the good ones is worth.
@@ -56,7 +58,13 @@ def features(data: np.ndarray, offsets: np.ndarray, params: QualityParams) -> It
     starts, ends, firsts = X.spans(data, offsets)
     h = X.prefix(data)
     mask = X.U(params.buckets - 1)
-    yield (X.span_hash(h, starts, ends) & mask).astype(np.int64), firsts
+    words = X.span_hash(h, starts, ends)
+    yield (words & mask).astype(np.int64), firsts
+    # A word that repeats the one before it, whichever it is, and the end of the text have vectors of their own.
+    again = np.flatnonzero(words[1:] == words[:-1]) + 1
+    again = again[~np.isin(again, firsts)]
+    yield np.full(len(again), params.buckets - 1), np.searchsorted(again, firsts)
+    yield np.full(params.ends * (len(offsets) - 1), params.buckets - 2), params.ends * np.arange(len(offsets))
     # A word's n-grams may take in the white space, or the end of the text, on either side of it as a mark.
     padded = np.full(len(data) + len(offsets), 32, np.uint8)
     shift = np.arange(len(offsets) - 1)
@@ -91,7 +99,7 @@ def train(texts: pa.Array, labels: np.ndarray, params: QualityParams = QualityPa
     rng = np.random.default_rng(params.seed)
     vectors = rng.uniform(-1, 1, (params.buckets, params.dim)).astype(np.float32) / params.dim
     layer = np.zeros((params.dim, 2), np.float32)
-    usable = np.array([len(ids) > 0 for ids, _ in bags], bool) if bags else np.zeros(0, bool)
+    usable = np.array([len(ids) > 1 for ids, _ in bags], bool) if bags else np.zeros(0, bool)
     held = (np.arange(len(bags)) % 5 == 0) & usable
     fit = np.flatnonzero(usable & ~held)
     steps, done = max(1, params.epochs * len(fit)), 0
