@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import quality
+from lodestar.llm import fingerprints, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_classifier": quality.op6_quality_classifier}
+    return {
+        "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op6_quality_classifier": quality.op6_quality_classifier,
+        "op8_toxicity": toxicity.op8_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_fingerprints": fingerprints.OP2_SQL}
