@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import fingerprints, quality, toxicity
+from lodestar.llm import chat, decontaminate, fingerprints, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op3_url_filter": urlfilter.op3_url_filter,
+        "op4_chat_format": chat.op4_chat_format,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fingerprints": fingerprints.OP2_SQL}
+    return {
+        "op1_decontaminate": decontaminate.op1_sql(),
+        "op2_fingerprints": fingerprints.OP2_SQL,
+        "op4_chat_format": chat.OP4_SQL,
+    }
