@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import binary, chat, decontaminate, fingerprints, quality, toxicity, urlfilter
+from lodestar.llm import binary, bpe, chat, decontaminate, fingerprints, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_token_index": binary.op7_token_index,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
