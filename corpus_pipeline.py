@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import quality
+from lodestar.llm import bpe, decontaminate, quality, simhash, suffix
 from lodestar.session import shared_dir
 
 STAGES = [
     ("quality classifier", quality.stage),
+    ("SimHash near-dedup", simhash.stage),
+    ("suffix-array dedup", suffix.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("byte-level BPE encoding and decoding", bpe.stage),
 ]
 
 #: The stages learn weights, cluster and tokenize; SQL can't express that, so a brute-force version checks them.
