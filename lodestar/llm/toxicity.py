@@ -26,7 +26,7 @@ from lodestar.llm._spark import over_arrow, read, sampled
 class ToxicityParams:
     """``train_rows`` bounds the labelled rows that are fitted; the rest shape the model."""
 
-    train_rows: int = 8000
+    train_rows: int = 6000
     buckets: int = 1 << 18
     dim: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
@@ -114,10 +114,20 @@ def probability(ids: np.ndarray, firsts: np.ndarray, model: ToxicityModel, table
     return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
+def training_tokens(texts: pa.Array, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of many texts, block by block and in 32 bits: the driver's memory is small."""
+    data, offsets, _ = X.strings(texts)
+    parts, counts = [np.zeros((0, 1 + len(params.heads)), np.int32)], [np.zeros(1, np.int64)]
+    for a, b in X.blocks(offsets):
+        ids, firsts = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params)
+        parts.append(ids.astype(np.int32))
+        counts.append(np.diff(firsts))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
 def train(texts: pa.Array, langs: list[str | None], labels: np.ndarray, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Trains on four fifths of the documents and calibrates each language's threshold on the rest."""
-    data, offsets, _ = X.strings(texts)
-    ids, firsts = tokens(data, offsets, params)
+    ids, firsts = training_tokens(texts, params)
     n = len(labels)
     rng = np.random.default_rng(params.seed)
     total = params.filters * len(params.widths)
@@ -181,8 +191,11 @@ def train(texts: pa.Array, langs: list[str | None], labels: np.ndarray, params:
                         has = bucket >= 0
                         np.subtract.at(vectors, bucket[has], rate * grad_vectors[has])
     model = ToxicityModel(params, vectors, filters, bias, layer, float(offset), trained=True)
-    p = probability(ids, firsts, model, model.tables())
+    tables = model.tables()
     out = np.flatnonzero((np.arange(n) % 5 == 0) & (np.diff(firsts) > 0))
+    p = np.zeros(n)
+    for d in out:
+        p[d] = probability(ids[firsts[d] : firsts[d + 1]], np.array([0, firsts[d + 1] - firsts[d]]), model, tables)[0]
     names = np.array([x or "" for x in langs], object)
     return ToxicityModel(params, vectors, filters, bias, layer, float(offset), {str(x): cut(p[out[names[out] == x]], labels[out[names[out] == x]]) for x in set(names[out])}, cut(p[out], labels[out]), True)
 
