@@ -15,6 +15,8 @@ ROWS = 1000
 def over_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches that stay small on long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    # Else a union of equally partitioned inputs fails where adaptive execution coalesces one of them alone.
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return df.mapInArrow(f, schema)
 
 
