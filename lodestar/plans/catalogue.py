@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.session import table
+from lodestar.plans import maintenance, retrieval
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stub until the hybrid plan stands."""
-    return table(spark, sf_dir, "embeddings")
+    """Hybrid search: keyword and vector hits, fused by rank."""
+    return retrieval.hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return retrieval.QUERIES | maintenance.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | maintenance.SQL
