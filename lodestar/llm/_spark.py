@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts reach a hundred kB, so the default of 10,000 would be a gigabyte.
@@ -22,8 +22,24 @@ def over_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def sampled(labels: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of ``labels``, those of the least hash of ``key``: the same at every run and layout."""
-    return labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *[F.col(c) for c in labels.columns]).limit(most)
+    return labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *by_all(labels)).limit(most)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def by_all(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``df`` to order by, those that have an order."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in but and not f.dataType.simpleString().startswith("map") and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]

@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.op1_sql(),
         "op2_fingerprints": fingerprints.OP2_SQL,
         "op4_chat_format": chat.OP4_SQL,
+        "op5_suffix_dedup": suffix.op5_sql(),
     }

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import _text as X
 from lodestar.llm._induce import order_of
-from lodestar.llm._spark import over_arrow, read
+from lodestar.llm._spark import by_all, over_arrow, read, spare
 from lodestar.session import shared_dir
 
 LAST = np.iinfo(np.int64).max
@@ -274,12 +274,14 @@ def drop_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Data
     """
     spans, leaders = marked(docs, params)
     cuts = joined(spans, "text_hash").groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
-    known = leaders.join(cuts, "text_hash", "full").filter("rows > 1 or _cuts is not null").select(F.col("text_hash").alias("_hash"), F.col("first_id").alias("_first"), F.col("rows").alias("_rows"), "_cuts")
-    named = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_own", F.coalesce("doc_id", F.lit(int(LAST))))
-    all_rows = named.join(known, "_hash", "left")
-    once = all_rows.filter(F.coalesce("_rows", F.lit(1)) == 1).withColumn("_k", F.lit(1))
-    order = Window.partitionBy("_hash").orderBy("_own", *[F.col(c) for c in docs.columns if c != "text"])
-    several = all_rows.filter("_rows > 1").withColumn("_k", F.row_number().over(order))
+    h, own, first, n, cut_, k = spare(docs, "_hash", "_own", "_first", "_rows", "_cuts", "_k")
+    known = leaders.join(cuts, "text_hash", "full").filter("rows > 1 or _cuts is not null").select(F.col("text_hash").alias(h), F.col("first_id").alias(first), F.col("rows").alias(n), F.col("_cuts").alias(cut_))
+    named = docs.withColumn(h, F.xxhash64("text")).withColumn(own, F.coalesce("doc_id", F.lit(int(LAST))))
+    all_rows = named.join(known, h, "left")
+    ordered = [F.col(f"`{c}`") for c in docs.columns]
+    once = all_rows.filter(F.coalesce(n, F.lit(1)) == 1).select(*ordered, cut_, F.lit(1).alias(k))
+    order = Window.partitionBy(h).orderBy(own, *by_all(docs, "text"))
+    several = all_rows.filter(F.col(n) > 1).select(*ordered, cut_, F.row_number().over(order).alias(k))
     columns = docs.columns
     at = columns.index("text")
     count = columns.index("n_chars") if "n_chars" in columns else None
@@ -315,7 +317,7 @@ def drop_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Data
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch.select(columns).filter(pa.array(keep))
 
-    return over_arrow(once.unionByName(several).select(*columns, "_cuts", "_k"), run, docs.schema)
+    return over_arrow(once.union(several), run, docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +325,25 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op5_sql(params: SuffixParams = SuffixParams()) -> str:
+    n = params.words
+    return f"""
+WITH leaders AS (
+  SELECT text, min(doc_id) AS doc_id, regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+') AS words FROM documents WHERE text IS NOT NULL GROUP BY text
+), windows AS (
+  SELECT doc_id, k, hash(array_to_string(words[k + 1:k + {n}], ' ')) AS win FROM (SELECT doc_id, words, unnest(range(0, len(words) - {n} + 1)) AS k FROM leaders WHERE len(words) >= {n})
+), marked AS (
+  SELECT doc_id, k, first_value(doc_id) OVER w AS kept_doc, row_number() OVER w AS nth FROM windows WINDOW w AS (PARTITION BY win ORDER BY doc_id, k)
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, kept_doc ORDER BY k) AS island FROM (
+    SELECT *, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id, kept_doc ORDER BY k) + {n} THEN 1 ELSE 0 END AS fresh FROM marked WHERE nth > 1)
+)
+SELECT doc_id, kept_doc, min(k)::BIGINT AS start_word, max(k)::BIGINT + {n} AS end_word FROM islands GROUP BY doc_id, kept_doc, island
+UNION ALL
+SELECT d.doc_id, l.doc_id AS kept_doc, 0 AS start_word, len(l.words)::BIGINT AS end_word FROM documents d JOIN leaders l USING (text) WHERE d.doc_id > l.doc_id AND len(l.words) >= {n}
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without repeated passages."""
     return drop_repeats(docs)
