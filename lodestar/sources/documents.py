@@ -47,17 +47,28 @@ def prepared(raw: DataFrame, config: str | None = None, latin: bool = True) -> D
     return out
 
 
-def upsert_documents(documents: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    """The documents table after a batch of ``prepared`` rows.
+def _created(rows: DataFrame, keys: list[str], batch: DataFrame, bounded: bool) -> DataFrame:
+    """When the rows of a batch's keys were created; with ``bounded`` the batch is small and the table isn't shuffled."""
+    wanted = batch.select(*keys)
+    return rows.select(*keys, F.col("created_at").alias("_created")).join(F.broadcast(wanted) if bounded else wanted, keys, "left_semi")
+
+
+def document_changes(documents: DataFrame, batch: DataFrame, now: Column, bounded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows to be put in, keys to be deleted) for a batch of ``prepared`` rows; ``bounded``: it is a page or the like.
 
-    Keys of the batch are replaced and keep their created_at; those whose
-    document is empty are deleted. Of a key that the batch repeats the greatest text counts.
+    Keys keep their created_at; those whose document is empty are deleted. Of
+    a key that the batch repeats the greatest text counts.
     """
     batch = latest(batch, DOC_KEY, F.col("document").desc(), F.col("raw_document").desc())
-    old = documents.select(*DOC_KEY, F.col("created_at").alias("_created"))
-    fresh = batch.filter(F.col("document") != "").join(old, DOC_KEY, "left")
+    fresh = batch.filter(F.col("document") != "").join(_created(documents, DOC_KEY, batch, bounded), DOC_KEY, "left")
     fresh = fresh.select(*DOC_KEY, "document", "raw_document", "lexemes", F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
-    return documents.join(batch.select(*DOC_KEY), DOC_KEY, "left_anti").unionByName(fresh)
+    return fresh, batch.filter(F.col("document") == "").select(*DOC_KEY)
+
+
+def upsert_documents(documents: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+    """The documents table after ``document_changes``."""
+    fresh, _ = document_changes(documents, batch, now)
+    return documents.join(batch.select(*DOC_KEY).distinct(), DOC_KEY, "left_anti").unionByName(fresh)
 
 
 def delete_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -73,12 +84,17 @@ def delete_ids(rows: DataFrame, entity_type: str, language: str, ids: Iterable[s
     return rows.filter(~((F.col("entity_type") == entity_type) & (F.col("language") == language) & F.col("entity_id").isin(*ids)))
 
 
-def upsert_vectors(vectors: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    """The vectors table after a batch (key, embedding): keys are replaced and keep their created_at. Rows without a vector are left out."""
+def vector_changes(vectors: DataFrame, batch: DataFrame, now: Column, bounded: bool = False) -> DataFrame:
+    """The rows to be put in for a batch (key, embedding): keys keep their created_at, rows without a vector are left out."""
     batch = latest(batch.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*VECTOR_KEY, "embedding"), VECTOR_KEY, F.xxhash64("embedding"))
-    old = vectors.select(*VECTOR_KEY, F.col("created_at").alias("_created"))
-    fresh = batch.join(old, VECTOR_KEY, "left").select(*VECTOR_KEY, "embedding", F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
-    return vectors.join(batch.select(*VECTOR_KEY), VECTOR_KEY, "left_anti").unionByName(fresh)
+    old = _created(vectors, VECTOR_KEY, batch, bounded)
+    return batch.join(old, VECTOR_KEY, "left").select(*VECTOR_KEY, "embedding", F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
+
+
+def upsert_vectors(vectors: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+    """The vectors table after ``vector_changes``."""
+    fresh = vector_changes(vectors, batch, now)
+    return vectors.join(fresh.select(*VECTOR_KEY), VECTOR_KEY, "left_anti").unionByName(fresh)
 
 
 def missing_embeddings(ids: DataFrame, vectors: DataFrame, model: str) -> DataFrame:

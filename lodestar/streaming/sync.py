@@ -76,25 +76,31 @@ class State:
 NAMES = ("search_documents", "search_dirty", "embedding_tasks", "embedding_vectors", "embedding_models", "embedding_dead_letters")
 
 
-def apply_changes(state: State, texts: DataFrame, options: SyncOptions, now: Column) -> State:
-    """The state after the oldest changes: deletions first, then documents, then a task per active model.
+def apply_changes(store: Store, texts: DataFrame, options: SyncOptions, now: Column) -> None:
+    """Applies the oldest changes: deletions first, then documents, then a task per active model.
 
     A change is cleared by its key and time, so one that comes meanwhile stays.
-    An entity without a row in ``texts`` keeps its document; an empty text deletes it.
+    An entity without a row in ``texts`` keeps its document; an empty text
+    deletes it. Of documents and vectors only what changes is written. A pass that dies is done again by the next one.
     """
+    state = State.of(store)
     batch = dirty_batch(state.dirty, options.dirty_batch)
     gone = batch.filter(F.coalesce("is_deleted", F.lit(False))).select(*DIRTY_KEY)
     live = batch.filter(~F.coalesce("is_deleted", F.lit(False))).select(*DIRTY_KEY)
-    documents, vectors, tasks = (D.delete_keys(x, gone) for x in (state.documents, state.vectors, state.tasks))
+    vectors = state.vectors.join(F.broadcast(gone), DIRTY_KEY, "left_semi")  # dirty_batch rows at most, as below
+    store.merge("embedding_vectors", deletes=vectors)
+    fresh, emptied = None, gone
     if options.lexical_types:
         wanted = live.filter(F.col("entity_type").isin(*options.lexical_types))
-        documents = D.upsert_documents(documents, D.prepared(texts.join(F.broadcast(wanted), DIRTY_KEY), options.config), now)  # dirty_batch rows at most
+        fresh, blank = D.document_changes(state.documents, D.prepared(texts.join(F.broadcast(wanted), DIRTY_KEY), options.config), now, bounded=True)
+        emptied = gone.unionByName(blank)
+    store.merge("search_documents", fresh, emptied)
+    tasks = state.tasks.join(F.broadcast(gone), DIRTY_KEY, "left_anti")
     if options.semantic_types:
         wanted = live.filter(F.col("entity_type").isin(*options.semantic_types)).crossJoin(F.broadcast(state.models.select("model")))  # a row per model
         tasks = Q.enqueue(tasks.select(*Q.COLUMNS), wanted, "dirty", now)
-    cleared = batch.select(*DIRTY_KEY, "updated_at")
-    dirty = state.dirty.join(F.broadcast(cleared), [*DIRTY_KEY, "updated_at"], "left_anti")
-    return State(documents, dirty, tasks, vectors, state.models, state.letters)
+    store.write("embedding_tasks", tasks)
+    store.write("search_dirty", state.dirty.join(F.broadcast(batch.select(*DIRTY_KEY, "updated_at")), [*DIRTY_KEY, "updated_at"], "left_anti"))
 
 
 def page_after(entities: DataFrame, entity_type: str, language: str, cursor: str, size: int) -> DataFrame:
@@ -130,7 +136,7 @@ def backfill(store: Store, entities: DataFrame, texts: DataFrame, options: SyncO
             count, last = page.agg(F.count(F.lit(1)), F.max("entity_id")).first()
             if count and model is None:
                 batch = D.prepared(texts.join(F.broadcast(page), DIRTY_KEY), options.config)
-                store.write("search_documents", D.upsert_documents(store.read("search_documents"), batch, now))
+                store.merge("search_documents", *D.document_changes(store.read("search_documents"), batch, now, bounded=True))
             elif count:
                 missing = D.missing_embeddings(page, store.read("embedding_vectors"), model).withColumn("model", F.lit(model))
                 store.write("embedding_tasks", Q.enqueue(store.read("embedding_tasks"), missing, "model_backfill", now))
@@ -191,7 +197,7 @@ def drain(store: Store, texts: DataFrame, provider: Provider, options: SyncOptio
     place = f"{store.root}/results/{time.time_ns()}"
     embed(leased, texts, provider, options.calls, options.per_second).write.parquet(place)
     results = store.spark.read.parquet(place)
-    store.write("embedding_vectors", D.upsert_vectors(store.read("embedding_vectors"), results.filter(F.col("error").isNull() & F.col("embedding").isNotNull()), now))
+    store.merge("embedding_vectors", D.vector_changes(store.read("embedding_vectors"), results.filter(F.col("error").isNull() & F.col("embedding").isNotNull()), now, bounded=True))
     settled, letters = Q.settle(tasks, store.read("embedding_dead_letters"), results, now, options.max_attempts, options.backoff, options.backoff_most)
     # Letters first: a job that dies in between repeats the task rather than losing it.
     store.write("embedding_dead_letters", letters)
@@ -202,9 +208,8 @@ def drain(store: Store, texts: DataFrame, provider: Provider, options: SyncOptio
 def sync_once(store: Store, entities: DataFrame, texts: DataFrame, provider: Provider | None, options: SyncOptions, now: Column | None = None) -> None:
     """Changes, then backfill, then tasks; the last is left out without models or a provider."""
     now = now if now is not None else F.lit(pd.Timestamp.now(tz="UTC").to_pydatetime())
-    state = State.of(store)
-    after = apply_changes(state, texts, options, now)
-    store.write_all({"search_documents": after.documents, "embedding_vectors": after.vectors, "embedding_tasks": after.tasks, "search_dirty": after.dirty})
+    if store.read("search_dirty").limit(1).count():
+        apply_changes(store, texts, options, now)
     backfill(store, entities, texts, options, now)
     if provider is not None and store.read("embedding_models").limit(1).count():
         drain(store, texts, provider, options, now)

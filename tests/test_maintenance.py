@@ -41,6 +41,12 @@ def test_store(spark, tmp_path):
     store.write("embedding_models", store.read("embedding_models").filter("model = 'a'"))
     assert [r["model"] for r in store.read("embedding_models").collect()] == ["a"]
     assert store.prune("embedding_models") == 1 and store.prune("embedding_models") == 0 and store.read("embedding_models").count() == 1
+    key = "entity_type string, entity_id string, model string, language string"
+    vector = lambda i, x: spark.createDataFrame([("t", i, "m", "en", [x])], key + ", embedding array<float>").withColumns({"created_at": ts(NOW), "updated_at": ts(NOW)})
+    for k in range(23):
+        store.merge("embedding_vectors", vector(str(k % 5), float(k)), spark.createDataFrame([("t", str((k + 1) % 5), "m", "en")], key))
+    got = {r["entity_id"]: r["embedding"][0] for r in store.read("embedding_vectors").collect()}
+    assert got == {"0": 20.0, "1": 21.0, "2": 22.0, "4": 19.0}
     for bad in ([("", 3, "text")], [("a", 0, "text")], [("a", 1, "audio")]):
         with pytest.raises(ValueError, match="not a model"):
             D.upsert_models(store.read("embedding_models"), bad)
@@ -104,9 +110,11 @@ def test_pass(spark, tmp_path):
     dirty = spark.createDataFrame([("page", "00", "en", True), ("page", "01", "en", False), (" ", "x", "en", False)], "entity_type string, entity_id string, language string, is_deleted boolean").select("*", F.lit("r").alias("reason"), ts(NOW).alias("created_at"), ts(NOW).alias("updated_at"))
     store.write("search_dirty", dirty)
     texts2 = texts.withColumn("text", F.when(F.col("entity_id") == "01", F.lit("fresh")).otherwise(F.col("text")))
-    after = S.apply_changes(S.State.of(store), texts2, options, ts(LATER))
-    assert after.dirty.count() == 1 and after.documents.count() == 29 and after.vectors.count() == 23
-    assert after.documents.filter("entity_id = '01'").first()["document"] == "fresh"
+    S.apply_changes(store, texts2, options, ts(LATER))
+    documents = store.read("search_documents")
+    assert store.read("search_dirty").count() == 1 and documents.count() == 29 and store.read("embedding_vectors").count() == 23
+    assert documents.filter("entity_id = '01'").first()["document"] == "fresh" and store.read("embedding_tasks").filter("entity_id = '01' and reason = 'dirty'").count() == 1
+    store.write("embedding_tasks", store.read("embedding_tasks").filter("entity_id <> '01'"))
     # Failures wait; the wrong request waits longer; the last attempt is a dead letter.
     due = "2024-01-03 00:00:00"
     tasks = store.write("embedding_tasks", store.read("embedding_tasks").withColumn("attempts", F.when(F.col("entity_id") == F.lit("24"), 9).otherwise(0)))
