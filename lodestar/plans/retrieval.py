@@ -59,6 +59,12 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(keyword.trigram_search(X.documents(spark, sf_dir), "Anthing the Ouen-tion!", ENGLISH, 50, 0.1)).select(*HIT, "score")
 
 
+def trigram_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents most similar to each benchmark text, of those in English."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("language"), T.fold_latin("text").alias("text"))
+    return _six(keyword.trigram_search_all(X.documents(spark, sf_dir), asked, 5)).select("query_id", "rank", "entity_id", "score")
+
+
 def _keyword(query: str, limit: int) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _six(keyword.keyword_search(X.documents(spark, sf_dir), query, ENGLISH, limit, "simple")).select(*HIT, "score")
@@ -196,7 +202,7 @@ def sign_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "knn_exact": knn_exact, "knn_floor": knn_floor, "knn_two_stage": knn_two_stage, "similar_to": similar_to, "knn_all_queries": knn_all_queries, "trigram_search": trigram_search,
+    "knn_exact": knn_exact, "knn_floor": knn_floor, "knn_two_stage": knn_two_stage, "similar_to": similar_to, "knn_all_queries": knn_all_queries, "trigram_search": trigram_search, "trigram_all_queries": trigram_all_queries,
     "keyword_and": _keyword("that with from", 40), "keyword_term": _keyword("worthless", 40), "keyword_or": _keyword("worthless or onrein", 60), "keyword_not": _keyword("the of not with", 40), "keyword_phrase": _keyword('"of the" that', 40), "keyword_only_not": _keyword("not the", 400),
     "keyword_normalized": keyword_normalized, "keyword_stemmed": keyword_stemmed, "native_search": native_search, "native_prefix": native_prefix, "native_documents": native_documents, "rank_fusion": rank_fusion, "hybrid_search": hybrid_search, "hybrid_stemmed": hybrid_stemmed,
     "typeahead": typeahead, "typeahead_native": typeahead_native, "diversified": diversified, "retrieval_quality": retrieval_quality, "folded": folded, "lexeme_positions": lexeme_positions, "trigram_counts": trigram_counts, "query_forms": query_forms, "embedding_queries": embedding_queries,
@@ -255,6 +261,9 @@ SQL = {
     "similar_to": f"WITH {X.VECTORS_SQL} SELECT entity_id, round(s, 6) AS score FROM (SELECT v.entity_id, {_cos('v.embedding', 'q.embedding')} AS s FROM vecs v, vecs q WHERE q.vec_id = 5 AND v.vec_id <> 5 ORDER BY round(s, 9) DESC, v.entity_id LIMIT 20)",
     "knn_all_queries": f"WITH {X.VECTORS_SQL} SELECT query_id, rank, entity_id, round(s, 6) AS score FROM (SELECT q.entity_id AS query_id, v.entity_id, {_cos('q.embedding', 'v.embedding')} AS s, (row_number() OVER (PARTITION BY q.entity_id ORDER BY round({_cos('q.embedding', 'v.embedding')}, 12) DESC, v.entity_id))::INTEGER AS rank FROM vecs v, vecs q) WHERE rank <= 10",
     "trigram_search": f"WITH {X.DOCUMENTS_SQL} SELECT entity_type, entity_id, language, round(score, 6) AS score FROM ({_trigram_hits('anthing the ouen tion', 50)})",
+    "trigram_all_queries": f"""WITH {X.DOCUMENTS_SQL}, d AS (SELECT entity_type, entity_id, {_grams("document")} AS g FROM docs WHERE language = 'en'), q AS (SELECT item_id AS query_id, {_grams("f")} AS g FROM (SELECT item_id, {T.fold_latin_sql("text")} AS f FROM benchmark)),
+    s AS (SELECT query_id, entity_type, entity_id, len(list_intersect(d.g, q.g)) / (len(d.g) + len(q.g) - len(list_intersect(d.g, q.g))) AS score FROM d, q)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_type, entity_id))::INTEGER AS rank, entity_id, round(score, 6) AS score FROM s WHERE score >= 0.1 QUALIFY rank <= 5""",
     "keyword_and": f"{_AND3} {_ordered(_and(['that', 'with', 'from']), 40)}",
     "keyword_term": f"WITH {X.DOCUMENTS_SQL}, {_hits(['worthless'])} {_ordered('SELECT entity_type, entity_id, language, count(*) * 0.1::DOUBLE AS score FROM hits GROUP BY ALL', 40)}",
     "keyword_or": f"WITH {X.DOCUMENTS_SQL}, {_hits(['worthless', 'onrein'])} {_ordered('SELECT entity_type, entity_id, language, count(*) * 0.1::DOUBLE AS score FROM hits GROUP BY ALL', 60)}",
