@@ -22,27 +22,32 @@ from lodestar.llm import _tokens
 from lodestar.llm._spark import over_arrow, read
 
 #: Characters of text that are encoded, or tokens that are decoded, at once; a longer text is a block of its own.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Chunks whose tokens a worker remembers between blocks.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: Words that one query contracts; all of its steps are in memory.
+WORDS = 40_000
 
-#: A pair's code orders by rank, then place. Merged tokens have their rank as id.
+#: Rows carry the token after theirs and its place. ``best`` is the code of a word's pair: its rank, then its
+#: place, and null once there is none. A merged token has its rank as id.
 CONTRACT = """
-WITH RECURSIVE steps(step, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM start_rows
+WITH RECURSIVE steps(word, pos, id, next_id, next_pos, best) AS (
+  SELECT word, pos, id, next_id, next_pos, min((m.rank::BIGINT << 32) + pos) OVER (PARTITION BY word)
+  FROM (SELECT word, pos, id, lead(id) OVER o AS next_id, lead(pos) OVER o AS next_pos FROM start_rows WINDOW o AS (PARTITION BY word ORDER BY pos)) p
+  LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
   UNION ALL
-  SELECT step + 1, word, pos, CASE WHEN code = best THEN (code >> 32)::INTEGER ELSE id END
+  SELECT word, pos, p.id, next_id, next_pos, min((m.rank::BIGINT << 32) + pos) OVER (PARTITION BY word)
   FROM (
-    SELECT step, word, pos, id, code, min(code) OVER (PARTITION BY word) AS best, lag(code) OVER (PARTITION BY word ORDER BY pos) AS before
-    FROM (
-      SELECT p.step, p.word, p.pos, p.id, (m.rank::BIGINT << 32) + p.pos AS code
-      FROM (SELECT step, word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM steps) p
-      LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
-    )
-  )
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best
+    SELECT s.word, s.pos, CASE WHEN s.pos = s.best & 4294967295 THEN (s.best >> 32)::INTEGER ELSE s.id END AS id,
+      CASE WHEN s.pos = s.best & 4294967295 THEN g.next_id WHEN s.next_pos = s.best & 4294967295 THEN (s.best >> 32)::INTEGER ELSE s.next_id END AS next_id,
+      CASE WHEN s.pos = s.best & 4294967295 THEN g.next_pos ELSE s.next_pos END AS next_pos
+    FROM (SELECT * FROM steps WHERE best IS NOT NULL) s
+    JOIN (SELECT word, next_pos AS gone FROM steps WHERE pos = best & 4294967295) b USING (word)
+    JOIN (SELECT word, pos, next_id, next_pos FROM steps WHERE best IS NOT NULL) g ON g.word = s.word AND g.pos = b.gone
+    WHERE s.pos <> b.gone
+  ) p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
 )
-SELECT s.word, s.id FROM steps s JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step) ORDER BY s.word, s.pos
+SELECT word, id FROM steps WHERE best IS NULL ORDER BY word, pos
 """
 
 DECODE = "SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS body FROM token_rows t JOIN vocabulary v USING (id) GROUP BY t.doc ORDER BY t.doc"
@@ -74,7 +79,7 @@ class Coder:
     """A worker's connection and the words that it has met."""
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]]):
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "600MB", "preserve_insertion_order": "false"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "preserve_insertion_order": "false"})
         self.con.execute("SET max_temp_directory_size = '10GB'")
         left, right, rank = zip(*merges, strict=True) if merges else ((), (), ())
         self.con.register("merge_rows", pa.table({"left_id": pa.array(left, pa.int32()), "right_id": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())}))
@@ -102,6 +107,15 @@ class Coder:
         self.con.unregister("start_rows")
         return found["id"].to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(raw)))])
 
+    def contract_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``contract`` in runs of words."""
+        flat, firsts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(words), WORDS):
+            tokens, ends = self.contract(words[k : k + WORDS])
+            flat.append(tokens)
+            firsts.append(ends[1:] + firsts[-1][-1])
+        return np.concatenate(flat), np.concatenate(firsts)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts, first token of each text and the count of all)."""
         if len(self.known) > REMEMBERED:
@@ -111,7 +125,7 @@ class Coder:
         if len(known) > before:
             words: dict[str, int] = {}
             cut = [[words.setdefault(w, len(words)) for w in _tokens.WORD.findall(c)] for c in islice(known, before, None)]
-            flat, firsts = self.contract(list(words))
+            flat, firsts = self.contract_all(list(words))
             own = np.fromiter((w for c in cut for w in c), np.int64)
             tokens, ends = ragged(flat, firsts, own)
             chunk_ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
