@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.scores import CONFIGS
 from lodestar.functions.stem import stem
 
 _WORD = re.compile(r"[^\W_]+")
@@ -54,6 +55,21 @@ def lexemes(text: Column | str, config: str = "simple") -> Column:
     return stemmed(c)
 
 
+def lexemes_by_language(text: Column | str, language: Column | str) -> Column:
+    """``lexemes`` under each row's own configuration, in one pass; only texts that need a stemmer go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    code = F.lower(F.trim(F.col(language) if isinstance(language, str) else language))
+    known = F.coalesce(code.isin(*CONFIGS), F.lit(False))
+    stops = {c: stop_words(name) for c, name in CONFIGS.items()}
+
+    @F.pandas_udf("array<string>")
+    def stemmed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, codes in batches:
+            yield pd.Series([lexemes_of(t, CONFIGS[c], stops[c]) if isinstance(t, str) else None for t, c in zip(texts, codes, strict=True)], dtype=object)
+
+    return F.when(known, stemmed(F.when(known, text), code)).otherwise(lexemes(text))
+
+
 def positions(rows: DataFrame, *keys: str) -> DataFrame:
     """``keys``, lexeme and its positions, from 1, of every lexeme array: the postings of an inverted index."""
     places = rows.select(*keys, F.posexplode("lexemes").alias("_i", "lexeme")).filter(F.col("lexeme").isNotNull())

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import lexemes as L
 from lodestar.functions import text as T
-from lodestar.functions.scores import CONFIGS, config_of
 from lodestar.sources import schemas
 
 DOC_KEY = list(schemas.KEYS["search_documents"])
@@ -37,14 +36,7 @@ def prepared(raw: DataFrame, config: str | None = None, latin: bool = True) -> D
     rows = raw.filter(~blank("entity_type") & ~blank("entity_id") & ~blank("language"))
     text = F.trim(F.coalesce("text", F.lit("")))
     rows = rows.select(*DOC_KEY, text.alias("raw_document"), F.coalesce(T.fold_latin(text) if latin else T.fold_any(text), F.lit("")).alias("document"))
-    if config is not None:
-        return rows.withColumn("lexemes", L.lexemes("raw_document", config))
-    # Each configuration is a branch over its own languages: rows of ``simple`` never meet Python.
-    code = F.lower(F.trim("language"))
-    out = rows.filter(~code.isin(*CONFIGS)).withColumn("lexemes", L.lexemes("raw_document", "simple"))
-    for name in CONFIGS:
-        out = out.unionByName(rows.filter(code == name).withColumn("lexemes", L.lexemes("raw_document", config_of(name))))
-    return out
+    return rows.withColumn("lexemes", L.lexemes_by_language("raw_document", "language") if config is None else L.lexemes("raw_document", config))
 
 
 def _created(rows: DataFrame, keys: list[str], batch: DataFrame, bounded: bool) -> DataFrame:
