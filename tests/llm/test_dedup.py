@@ -1,6 +1,8 @@
 """Near-dedup, suffix arrays, repeated passages and the pipeline against brute force."""
 
+import itertools
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -88,6 +90,40 @@ def test_simhash(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["keep"])
 
 
+def test_simhash_words_by_unicode():
+    """Words by an independent cut, character by character: case, typographic marks and scripts don't change them."""
+
+    def words(text):
+        kinds = ((c, unicodedata.category(c)[0] in "LMN") for c in text.casefold())
+        return {"".join(c for c, _ in run) for solid, run in itertools.groupby(kinds, key=lambda x: x[1]) if solid}
+
+    def hashes(texts):
+        raw = [t.encode() for t in texts]
+        found, firsts = simhash.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+        return [set(found[a:b].tolist()) for a, b in zip(firsts, firsts[1:])]
+
+    plain = ["élan vital à noël, déjà vu", "über straße ärger 42", "el niño soñó más", "съешь ещё этих булок", "ὁ λόγος τῆς ὁδοῦ σοφός", "हिन्दी में पाठ", "plain text only"]
+    loud = [t.upper() for t in plain]
+    marked = ["\u00a0".join(f"\u201c{w}\u201d\u2014" for w in t.split()) for t in plain]
+    got = hashes(plain + loud + marked)
+    n = len(plain)
+    assert [len(g) for g in got] == [len(words(t)) for t in plain + loud + marked]
+    assert got[:n] == got[n : 2 * n] == got[2 * n :]
+    known = {}
+    for g, w in zip(got, map(words, plain + loud + marked), strict=True):
+        assert known.setdefault(frozenset(w), g) == g
+    assert hashes(["\u201c \u201d\u2014\u00a0\u2026", "", "e\u0301"]) == [set(), set(), hashes(["E\u0301"])[0]]
+
+
+def test_upper_cased_and_typographic_copies(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("é", "ä", "ñ", "ж", "λ") for b in ("ba", "öl", "ши") for c in ("ç", "ü", "я", "n")]
+    texts = [" ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(60)) for _ in range(12)]
+    copies = texts + [t.upper() for t in texts] + ["\u00a0".join(f"\u00ab{w}\u00bb\u2013" for w in t.split()) for t in texts]
+    docs = spark.createDataFrame(doc_rows(copies), COLUMNS)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()} == {i: i % 12 for i in range(36)}
+
+
 def test_simhash_odd_rows(spark):
     rows = [(None, "one two three", "a"), (None, "one two three", "b"), (5, "one two three", "c"), (5, "one two three", "c"), (7, "unlike all others", "d"), (7, None, "e"), (None, None, "f"), (8, "", "g")]
     docs = spark.createDataFrame([(*r, 1, True, "x") for r in rows], "doc_id long, text string, _row string, _n int, keep boolean, group_id string")
