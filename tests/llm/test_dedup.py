@@ -115,6 +115,27 @@ def test_simhash_words_by_unicode():
     assert hashes(["\u201c \u201d\u2014\u00a0\u2026", "", "e\u0301"]) == [set(), set(), hashes(["E\u0301"])[0]]
 
 
+def test_recall_by_distance(spark):
+    """Pairs of words of their own, so no other text can tie them: nine of ten are found in each band up to the radius."""
+    rng = random.Random(31)
+    texts = []
+    for i in range(900):
+        n = rng.choice([rng.randint(6, 30), rng.randint(30, 90), rng.randint(90, 250)])
+        own = [f"p{i}w{k}" for k in range(n)]
+        texts.append(" ".join(own))
+        part = rng.uniform(0, 0.3)
+        texts.append(" ".join(f"q{i}w{k}" if rng.random() < part else w for k, w in enumerate(own)))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(doc_rows(texts), COLUMNS)).collect()}
+    sketches = sketch_of(texts)
+    bands = {}
+    for i in range(0, len(texts), 2):
+        d = (sketches[i] ^ sketches[i + 1]).bit_count()
+        if d <= simhash.SimHashParams().sketch_radius:
+            bands.setdefault(next(b for b in (10, 15, 20, 23, 26) if d <= b), []).append(got[i + 1] == i)
+    found = {b: sum(hits) / len(hits) for b, hits in sorted(bands.items())}
+    assert min(map(len, bands.values())) >= 50 and min(found.values()) >= 0.9, found
+
+
 def test_upper_cased_and_typographic_copies(spark):
     rng = random.Random(8)
     words = [f"{a}{b}{c}" for a in ("é", "ä", "ñ", "ж", "λ") for b in ("ba", "öl", "ши") for c in ("ç", "ü", "я", "n")]
