@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import shared_dir
+
 #: Rows in an Arrow batch. Texts reach a hundred kB, so the default of 10,000 would be a gigabyte.
 ROWS = 1000
+#: Bytes of one; a longer text is a batch of its own.
+BYTES = 8 << 20
 
 
 def over_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches that stay small on long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     # Else a union of equally partitioned inputs fails where adaptive execution coalesces one of them alone.
     df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return df.mapInArrow(f, schema)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, place: str) -> None:
+    """Deletes what an operator wrote for itself, on whichever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(text: str) -> tuple[Column, Column]:
+    """128 bits that stand for a text; null for a null one. Of 10**12 texts two are the same by chance with a probability below 10**-14."""
+    has = F.col(text).isNotNull()
+    return F.when(has, F.xxhash64(text)), F.when(has, F.xxhash64(F.lit("second"), text))
+
+
 def sampled(labels: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of ``labels``, those of the least hash of ``key``: the same at every run and layout."""
     return labels.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), *by_all(labels)).limit(most)
