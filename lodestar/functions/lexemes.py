@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +73,30 @@ def lexemes_by_language(text: Column | str, language: Column | str) -> Column:
 
 
 def positions(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, lexeme and its positions, from 1, of every lexeme array: the postings of an inverted index."""
-    places = rows.select(*keys, F.posexplode("lexemes").alias("_i", "lexeme")).filter(F.col("lexeme").isNotNull())
-    return places.groupBy(*keys, "lexeme").agg(F.array_sort(F.collect_list(F.col("_i") + 1)).alias("positions"))
+    """``keys``, lexeme and its positions, from 1, of every lexeme array: the postings of an inverted index.
+
+    A key's words lie in one row, so they are grouped there, batch by batch, and nothing is shuffled.
+    """
+    own = rows.select(*keys, "lexemes")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keys).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            words = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(batch)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            has = np.asarray(words.is_valid())
+            code = words.indices.fill_null(0).to_numpy(zero_copy_only=False)[has]
+            row, place = row[has], place[has]
+            order = np.lexsort((place, code, row))
+            code, row, place = code[order], row[order], place[order]
+            head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.zeros(0, np.int64)
+            spots = pa.ListArray.from_arrays(pa.array(np.append(head, len(code)), pa.int32()), pa.array(place, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row[head])) for k in range(len(keys))), words.dictionary.take(pa.array(code[head])), spots], [*keys, "lexeme", "positions"])
+
+    return own.mapInArrow(run, f"{fields}, lexeme string, positions array<int>")
 
 
 @dataclass(frozen=True)
@@ -116,7 +139,10 @@ def _holds(words: Column, phrase: Phrase) -> Column:
     every = F.lit(True)
     for w in phrase.words:
         every = every & F.array_contains(words, F.lit(w))
-    if len(phrase.words) > 1:
+    if len(phrase.words) > 1 and phrase.shifts == tuple(range(len(phrase.words))):
+        # Neighbours stand side by side in the joined text; a lexeme has no space in it.
+        every = F.when(every, F.contains(F.concat(F.lit(" "), F.array_join(words, " ", "\x00"), F.lit(" ")), F.lit(f" {' '.join(phrase.words)} "))).otherwise(F.lit(False))
+    elif len(phrase.words) > 1:
         # Only where all words are there are places compared.
         heads = F.filter(F.transform(words, lambda w, i: F.when(w == phrase.words[0], i)), lambda i: i.isNotNull())
 
@@ -166,7 +192,7 @@ def _density(words: Column, terms: list[str]) -> Column:
 
 
 def cover_density(words: Column | str, query: Query) -> Column:
-    """The rank of a document: each alternative that holds adds the density of its covers.
+    """The rank of a document that matches: each alternative that holds adds the density of its covers.
 
     A term alone counts 0.1 for each place. The words of a phrase are taken as
     terms of their alternative; negated ones don't count, so a query of
@@ -177,8 +203,11 @@ def cover_density(words: Column | str, query: Query) -> Column:
     for part in query:
         terms = list(dict.fromkeys(w for p in part if not p.negated for w in p.words))
         if terms:
-            holds = F.lit(True)
-            for p in part:
-                holds = holds & _holds(words, p)
-            total = total + F.when(holds, _density(words, terms)).otherwise(F.lit(0.0))
+            density = _density(words, terms)
+            if len(query) > 1:  # else the document matches just because this one holds
+                holds = F.lit(True)
+                for p in part:
+                    holds = holds & _holds(words, p)
+                density = F.when(holds, density).otherwise(F.lit(0.0))
+            total = total + density
     return total

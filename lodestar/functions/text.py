@@ -9,15 +9,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _SINGLE = {
     "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th",
-    "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "ng", "Ŋ": "NG", "ŧ": "t", "Ŧ": "T", "ĸ": "k",
+    "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "ng", "Ŋ": "NG", "ŧ": "t", "Ŧ": "T", "ĸ": "k", "ʼ": "'",
 }
 _CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch  y  e iu ia io".split(" "), strict=True))
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
@@ -30,13 +31,27 @@ for _row, _sounds in {
     for _c, _s in zip(_row, _sounds.split(), strict=True):
         _KANA[_c] = _s
         _KANA[chr(ord(_c) - 0x60)] = _s
+_KANA["ー"] = "-"
 _LEAD = "g kk n d tt r m b pp s ss  j jj c k t p h".split(" ")
 _VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split()
 _TAIL = " g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split(" ")
 
 
-def _letter(c: str) -> str:
-    """One character in ASCII, where it has such a form; other characters stay."""
+@cache
+def other_letters() -> dict[str, str]:
+    """ASCII forms of the letters and marks that no table here has, Han among them, as the ICU library among Spark's jars transliterates them.
+
+    Made once, on the driver; what ICU doesn't know isn't in it. A Han character is a word of its own.
+    """
+    asked = [c for c in map(chr, [*range(0x250, 0xD800), *range(0xF900, 0x10000)]) if unicodedata.category(c)[0] in "LMN" and c not in _KANA and not "가" <= c <= "힣" and c.lower() not in _CYRILLIC | _GREEK]
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    found = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin; Latin-ASCII").transliterate("\n".join(asked)).split("\n")
+    forms = {c: "".join(x for x in f.strip().lower() if x.isascii()) for c, f in zip(asked, found, strict=True) if f != c}
+    return {c: f"{f} " if "CJK" in unicodedata.name(c, "") else f for c, f in forms.items()}
+
+
+def _letter(c: str, others: dict[str, str] | None = None) -> str:
+    """One character in ASCII, where it has such a form; other characters stay, marks that are left over go."""
     if c < "\x80":
         return c
     if c in _SINGLE:
@@ -50,18 +65,28 @@ def _letter(c: str) -> str:
     if "가" <= c <= "힣":
         n = ord(c) - 0xAC00
         return _LEAD[n // 588] + _VOWEL[n % 588 // 28] + _TAIL[n % 28]
+    if c < "\u0250" or c in "\u3099\u309a":
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        return bare if bare == c or not bare else "".join(_letter(x, others) for x in bare)
+    if unicodedata.category(c)[0] not in "LMN":
+        return c
+    form = (other_letters() if others is None else others).get(c)
+    if form is not None:
+        return form
+    if unicodedata.category(c)[0] == "M":
+        return ""
     bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-    return bare if bare == c or not bare else "".join(_letter(x) for x in bare)
+    return bare if bare == c or not bare else "".join(_letter(x, others) for x in bare)
 
 
-def fold(text: str | None) -> str:
+def fold(text: str | None, others: dict[str, str] | None = None) -> str:
     """Compatible characters unified, letters in ASCII where they have such a form, lower case, each run of other characters one space.
 
-    None is empty. Han characters have no table here and stay as they are.
+    None is empty. ``others`` is ``other_letters``, where it has been looked up already.
     """
     if not text or not text.strip():
         return ""
-    plain = "".join(map(_letter, unicodedata.normalize("NFKC", text.strip()))).lower()
+    plain = "".join(_letter(c, others) for c in unicodedata.normalize("NFKC", text.strip())).lower()
     return " ".join("".join(c if c.isalpha() or unicodedata.category(c)[0] == "N" else " " for c in plain).split())
 
 
@@ -70,7 +95,7 @@ def _latin_tables() -> tuple[str, str, list[tuple[str, str]]]:
     one, to, many = [], [], []
     for code in range(0xA0, 0x250):
         c = chr(code)
-        own = "".join(map(_letter, unicodedata.normalize("NFKC", c))).lower()
+        own = "".join(_letter(x, {}) for x in unicodedata.normalize("NFKC", c)).lower()
         own = "".join(x if x.isalpha() or unicodedata.category(x)[0] == "N" else " " for x in own)
         if own == c:
             continue
@@ -83,8 +108,6 @@ def _latin_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 LATIN_FROM, LATIN_TO, LATIN_MANY = _latin_tables()
-#: What may be in a text for ``fold_latin`` to be exact: Latin letters with composed accents, and any marks.
-_MARKS = r"\p{Mn}"
 
 
 def fold_latin(text: Column | str) -> Column:
@@ -105,16 +128,24 @@ def fold_latin_sql(column: str) -> str:
 
 
 def fold_any(text: Column | str) -> Column:
-    """``fold`` for texts in any script; null stays null."""
+    """``fold`` in Python, for texts in any script; null stays null."""
+    others = other_letters()
 
     @F.pandas_udf(StringType())
     def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(fold, na_action="ignore")
+            yield batch.map(lambda t: fold(t, others), na_action="ignore")
 
     return folded(text)
 
 
+def fold_column(text: Column | str) -> Column:
+    """``fold`` of a column, the same form that a query takes: built-in expressions for Latin script with composed accents, Python for texts with anything else; null stays null."""
+    c = F.col(text) if isinstance(text, str) else text
+    latin = ~c.rlike(r"[^\x00-\x{24F}]")
+    return F.when(latin, fold_latin(c)).otherwise(fold_any(F.when(~latin, c)))
+
+
 def _solid(c: str) -> bool:
     return c.isalpha() or unicodedata.category(c)[0] == "N"
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
@@ -36,18 +38,26 @@ def trigrams(text: Column | str) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
-def padded(text: Column | str) -> Column:
-    """The text with two spaces before each word: a query's trigram is in it just where the text has that trigram."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.concat(F.lit("  "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+def with_trigrams(rows: DataFrame, text: str = "document") -> DataFrame:
+    """``rows`` with their trigram sets in ``trigrams``, in one pass over the batches; null stays null.
+
+    For tables: the text is computed once, before the pass, however much later expressions use the set.
+    """
+    at = rows.columns.index(text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [None if t is None else trigrams_of(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.list_(pa.string()))], [*batch.schema.names, "trigrams"])
+
+    return rows.mapInArrow(run, f"{fields}, trigrams array<string>")
 
 
-def shared_with(text: Column | str, query: list[str]) -> Column:
-    """How many of a query's trigrams the text has, by plain substring tests that Spark compiles."""
-    body, total = padded(text), F.lit(0)
-    for g in query:
-        total = total + F.contains(body, F.lit(g)).cast("int")
-    return total
+def shared_with(sets: Column | str, query: list[str]) -> Column:
+    """How many of a query's trigrams are in a stored set."""
+    sets = F.col(sets) if isinstance(sets, str) else sets
+    return F.size(F.array_intersect(sets, F.array(*map(F.lit, query))))
 
 
 def least_shared(query: list[str], threshold: float) -> int:

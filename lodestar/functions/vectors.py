@@ -1,21 +1,19 @@
 """Vectors in array columns: similarity, sign bits, norms and means.
 
-A query vector that is known when the plan is made becomes a sum of products of
-array elements, which Spark compiles; between two columns the built-in
-higher-order functions do.
+Whole batches of vectors are matrices (``matrix``); between two columns of a row
+the built-in higher-order functions do.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longer literal vectors are handled by higher-order functions: compiled methods have a size limit.
-UNROLLED = 256
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,42 +39,48 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return _checked(dot(a, b), norm(a) * norm(b))
 
 
-def cosine_to(a: Column | str, query: Sequence[float]) -> Column:
-    """Cosine similarity to a known vector; null where ``a`` is null or zero or of another length."""
-    a, query = _col(a), [float(x) for x in query]
-    size = math.sqrt(sum(x * x for x in query))
-    if not query or len(query) > UNROLLED:
-        return cosine(a, F.array(*[F.lit(x) for x in query]))
-    parts = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
-    total = squares = None
-    for p, q in zip(parts, query, strict=True):
-        total = p * F.lit(q) if total is None else total + p * F.lit(q)
-        squares = p * p if squares is None else squares + p * p
-    return F.when(F.size(a) == len(query), _checked(total, F.sqrt(squares) * F.lit(size)))
+def matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """A list column whose rows all have ``dims`` numbers, in double; null numbers are NaN."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def sign_words(a: Column | str, dims: int) -> Column:
-    """Sign bits (1 where positive), 32 to a long; the last is filled up with zeros."""
-    a = _col(a)
-    words = []
-    for start in range(0, dims, 32):
-        word = F.lit(0).cast("long")
-        for i in range(start, min(dims, start + 32)):
-            word = word.bitwiseOR(F.when(F.get(a, F.lit(i)) > 0, F.lit(1 << (i - start)).cast("long")).otherwise(F.lit(0).cast("long")))
-        words.append(word)
-    return F.array(*words)
+def signs_between(packed: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many signs the packed rows differ."""
+    return np.bitwise_count((packed ^ other).view(np.uint64)).sum(1)
+
+
+def packed_signs(v: np.ndarray) -> np.ndarray:
+    """Sign bits of the rows (1 where positive), 64 to a long, the first number lowest; the last long is filled up with zeros."""
+    bits = np.packbits(v > 0, axis=1, bitorder="little")
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
+    return np.ascontiguousarray(bits).view("<i8")
+
+
+def with_signs(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with packed sign bits in ``signs``, to be stored: a scan of them reads a thirty-second of the vectors. Null vectors have null signs."""
+    at = vectors.columns.index("embedding")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out: list = [None] * len(batch)
+            for n in np.unique(sizes):
+                rows = np.flatnonzero((sizes == n) & np.asarray(lists.is_valid()))
+                packed = packed_signs(matrix(lists.take(pa.array(rows)), n)) if n else np.zeros((len(rows), 0), np.int64)
+                for i, p in zip(rows, packed, strict=True):
+                    out[i] = p
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "signs"])
 
-def sign_words_of(query: Sequence[float]) -> list[int]:
-    return [sum(1 << k for k, x in enumerate(query[s : s + 32]) if x > 0) for s in range(0, len(query), 32)]
+    return vectors.mapInArrow(run, f"{fields}, signs array<long>")
 
 
-def hamming_to(a: Column | str, query: Sequence[float]) -> Column:
-    """In how many signs the vector differs from a known one."""
-    words = sign_words(a, len(query))
+def signs_apart(signs: Column | str, query: Sequence[float]) -> Column:
+    """In how many signs a vector with packed ``signs`` differs from a known one; a term for 64 numbers."""
     total = F.lit(0)
-    for k, w in enumerate(sign_words_of(query)):
-        total = total + F.bit_count(words[k].bitwiseXOR(F.lit(w).cast("long")))
+    for k, w in enumerate(packed_signs(np.asarray([query], np.float64))[0].tolist()):
+        total = total + F.bit_count(F.get(_col(signs), F.lit(k)).bitwiseXOR(F.lit(w).cast("long")))
     return total
 
 

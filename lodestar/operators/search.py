@@ -42,7 +42,11 @@ class SearchOptions:
 
 @dataclass(frozen=True)
 class Searcher:
-    """``documents`` and ``vectors`` to search, and a callable (model, text) -> vector for queries."""
+    """``documents`` and ``vectors`` to search, and a callable (model, text) -> vector for queries.
+
+    ``postings`` are the documents' trigrams, if they are stored. ``config`` is the
+    text configuration that the lexemes were made with, where it isn't the language's own.
+    """
 
     documents: DataFrame
     vectors: DataFrame | None = None
@@ -51,6 +55,8 @@ class Searcher:
     model: str = ""
     limit: int = 20
     rrf_k: float = 60.0
+    postings: DataFrame | None = None
+    config: str | None = None
 
     def _nothing(self) -> DataFrame:
         return self.documents.filter(F.lit(False)).select(*HIT[:3], F.lit(0.0).alias("score"))
@@ -58,10 +64,10 @@ class Searcher:
     def _lexical(self, query: str, language: str, limit: int, types: tuple[str, ...]) -> list[DataFrame]:
         scope = Scope(language, types)
         if not T.is_cjk_language(language):
-            return [keyword_search(self.documents, query, scope, limit)]
+            return [keyword_search(self.documents, query, scope, limit, self.config)]
         out = []
         if T.has_ascii_word(query):
-            out.append(trigram_search(self.documents, query, scope, limit))
+            out.append(trigram_search(self.documents, query, scope, limit, postings=self.postings))
         if T.has_cjk(query):
             out.append(native_search(self.documents, query, scope, limit).select(*HIT))
         return out
@@ -116,10 +122,10 @@ class Searcher:
             raise ValueError("entity types are required")
         scope = Scope(language, tuple(types))
         if not T.is_cjk_language(language):
-            return trigram_search(self.documents, text, scope, limit, least)
+            return trigram_search(self.documents, text, scope, limit, least, self.postings)
         lists = []
         if T.has_ascii_word(text):
-            lists.append(trigram_search(self.documents, text, scope, limit, least))
+            lists.append(trigram_search(self.documents, text, scope, limit, least, self.postings))
         if T.has_cjk(text):
             hits = native_search(self.documents, text, scope, limit, prefix=True)
             lists.append(hits.filter(F.col("score") >= least) if least > 0 else hits)

@@ -9,11 +9,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
-from lodestar.operators.common import Scope, best, scoped
+from lodestar.operators.common import DIGITS, Scope, best, scoped
 
 COLUMNS = ("entity_type", "entity_id", "language", "model")
 OVERSAMPLE = 5
@@ -27,6 +28,57 @@ def _rows(vectors: DataFrame, model: str, scope: Scope, dims: int) -> DataFrame:
     return rows.filter(F.size("embedding") == dims)
 
 
+def _top(batch: pa.RecordBatch, values: np.ndarray, keep: int) -> np.ndarray:
+    """The rows of the ``keep`` greatest values, ties by key, NaN last."""
+    rounded = pa.array(np.round(np.where(np.isnan(values), -np.inf, values), DIGITS))
+    table = pa.table([rounded, *(batch.column(k) for k in range(3))], ["_value", "a", "b", "c"])
+    return pc.select_k_unstable(table, min(keep, len(batch)), [("_value", "descending"), ("a", "ascending"), ("b", "ascending"), ("c", "ascending")]).to_numpy()
+
+
+def nearest(rows: DataFrame, query: Sequence[float], keep: int) -> DataFrame:
+    """Type, id, language, model and cosine similarity of at least the ``keep`` most similar rows: each batch is a matrix product of which its best rows leave the task.
+
+    All embeddings have the query's length; a zero vector, on either side, has a null score.
+    """
+    q = np.asarray(query, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = V.matrix(batch.column(4), len(q))
+            size = np.linalg.norm(v, axis=1) * np.linalg.norm(q)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.where(size > 0, v @ q / size, np.nan)
+            at = _top(batch, score, keep)
+            picked = batch.select([0, 1, 2, 3]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(score[at], mask=np.isnan(score[at]))], [*COLUMNS, "score"])
+
+    return rows.select(*COLUMNS, F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "entity_type string, entity_id string, language string, model string, score double")
+
+
+def nearest_by_signs(rows: DataFrame, query: Sequence[float], keep: int) -> DataFrame:
+    """The rows (key and embedding) of the ``keep`` vectors whose signs differ least from the query's, ties by key.
+
+    Where ``signs`` are stored the scan reads them alone, and the embeddings of what was found are joined to it;
+    else the signs are taken from the vectors, batch by batch.
+    """
+    order = ["_apart", "entity_type", "entity_id", "language"]
+    if "signs" in rows.columns:
+        found = rows.select(*COLUMNS, V.signs_apart("signs", query).alias("_apart")).orderBy(*order).limit(keep).select(*COLUMNS)
+        return rows.select(*COLUMNS, "embedding").join(F.broadcast(found), list(COLUMNS))  # ``keep`` rows
+    own = V.packed_signs(np.asarray([query], np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = V.signs_between(V.packed_signs(V.matrix(batch.column(4), len(query))), own).astype(np.float64)
+            at = _top(batch, -apart, keep)
+            picked = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(apart[at].astype(np.int64))], [*COLUMNS, "embedding", "_apart"])
+
+    schema = "entity_type string, entity_id string, language string, model string, embedding array<float>, _apart long"
+    near = rows.select(*COLUMNS, F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, schema)
+    return near.orderBy(*order).limit(keep).drop("_apart")
+
+
 def semantic_search(vectors: DataFrame, model: str, query: Sequence[float], scope: Scope, limit: int = 20, least: float = 0.0, two_stage: bool = False, oversample: int = OVERSAMPLE) -> DataFrame:
     """The vectors of greatest cosine similarity: entity_type, entity_id, language, model, score.
 
@@ -39,28 +91,25 @@ def semantic_search(vectors: DataFrame, model: str, query: Sequence[float], scop
     rows = _rows(vectors, model, scope, len(query))
     if not len(query) or limit <= 0:
         return rows.filter(F.lit(False)).select(*COLUMNS, F.lit(0.0).alias("score"))
-    score = V.cosine_to("embedding", query)
     if not two_stage:
-        found = best(rows.select(*COLUMNS, score.alias("score")), limit)
+        found = best(nearest(rows, query, limit), limit)
         return found.filter(F.col("score") >= least) if least > 0 else found
     wide = limit * (oversample if oversample > 1 else OVERSAMPLE)
-    near = rows.select(*COLUMNS, "embedding", V.hamming_to("embedding", query).alias("_apart")).orderBy("_apart", "entity_type", "entity_id", "language").limit(wide)
-    return best(near.select(*COLUMNS, score.alias("score")).filter(F.col("score") >= least), limit)
+    return best(nearest(nearest_by_signs(rows, query, wide), query, wide).filter(F.col("score") >= least), limit)
 
 
 def similar_to(vectors: DataFrame, entity_type: str, entity_id: str, model: str, scope: Scope, limit: int = 20, least: float = 0.0) -> DataFrame:
-    """The vectors most similar to a stored one, which itself isn't among them; none if it isn't stored.
-
-    The stored vector is one row of the plan, so the source needn't be fetched first.
-    """
-    source = vectors.filter((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id) & (F.col("model") == model) & (F.col("language") == scope.language) & F.col("embedding").isNotNull()).select(F.col("embedding").alias("_source")).limit(1)
-    rows = scoped(vectors, scope, "ev").filter((F.col("model") == model) & F.col("embedding").isNotNull()).filter(~((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)))
-    pairs = rows.crossJoin(F.broadcast(source)).filter(F.size("embedding") == F.size("_source"))  # one row
-    found = best(pairs.select(*COLUMNS, V.cosine("embedding", "_source").alias("score")), limit)
+    """The vectors most similar to a stored one, which itself isn't among them; none if it isn't stored. The stored vector, one row, is fetched first."""
+    own = (F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)
+    source = vectors.filter(own & (F.col("model") == model) & (F.col("language") == scope.language) & F.col("embedding").isNotNull()).select("embedding").first()
+    rows = _rows(vectors, model, scope, len(source[0]) if source else 0).filter(~own)
+    if source is None or not len(source[0]) or limit <= 0:
+        return rows.filter(F.lit(False)).select(*COLUMNS, F.lit(0.0).alias("score"))
+    found = best(nearest(rows, list(source[0]), limit), limit)
     return found.filter(F.col("score") >= least) if least > 0 else found
 
 
-def search_all(vectors: DataFrame, queries: DataFrame, limit: int = 20, least: float = -1.0, block_bytes: int = 64 << 20) -> DataFrame:
+def search_all(vectors: DataFrame, queries: DataFrame, limit: int = 20, least: float = -1.0, block_bytes: int = 64 << 20, model: str = "", scope: Scope | None = None) -> DataFrame:
     """The ``limit`` best vectors of every query: query_id, rank, entity_type, entity_id, language, model, score.
 
     ``queries`` has query_id (a string or a number) and embedding. Queries of
@@ -70,7 +119,10 @@ def search_all(vectors: DataFrame, queries: DataFrame, limit: int = 20, least: f
     batch. Beyond that size both tables are cut into blocks by hash, and every
     pair of blocks is a group of a shuffle: nothing passes the driver. Null,
     empty and zero vectors match nothing. Ties go by type, id and language.
+    ``model`` and ``scope`` narrow what is searched, as in ``semantic_search``.
     """
+    vectors = scoped(vectors, scope, "ev") if scope is not None else vectors
+    vectors = vectors.filter(F.col("model") == model) if model else vectors
     asked = queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     rows = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*COLUMNS, F.col("embedding").cast("array<float>").alias("embedding"))
     shape = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()

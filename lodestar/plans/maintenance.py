@@ -11,6 +11,7 @@ from lodestar.sources import documents as D
 from lodestar.sources import schemas
 from lodestar.streaming import sync as S
 from lodestar.streaming import tasks as Q
+from lodestar.streaming.runtime import Runtime
 
 NOW = "2024-01-20 00:00:00"
 KEY = ["entity_type", "entity_id", "language"]
@@ -45,7 +46,7 @@ def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after a batch that empties every seventh, rewrites every fifth and brings new ones."""
     now = _now()
-    docs = X.documents(spark, sf_dir).withColumn("created_at", F.lit("2023-05-05 00:00:00").cast("timestamp")).withColumn("updated_at", F.col("created_at"))
+    docs = X.documents(spark, sf_dir).drop("trigrams").withColumn("created_at", F.lit("2023-05-05 00:00:00").cast("timestamp")).withColumn("updated_at", F.col("created_at"))
     number = F.col("entity_id").cast("long")
     old = docs.filter((number % 7 == 0) | (number % 5 == 0)).select(*KEY, F.when(number % 7 == 0, F.lit(" -- ")).otherwise(F.concat(F.lit("Ärger! "), F.col("entity_id"))).alias("text"))
     new = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("entity_type"), F.col("item_id").cast("string").alias("entity_id"), F.lit("xx").alias("language"), "text")
@@ -107,6 +108,32 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.settle(*_results(spark, sf_dir), _now(), jitter=False)[1].select("entity_type", "entity_id", "model", "language", "reason", "error", "attempts", "failed_at")
 
 
+class Counts:
+    """A provider that SQL can follow: characters, spaces and the letters e of a text, the first ``dims`` of them, and of assets how many there are."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def embed(self, texts):
+        return [[float(x) for x in (len(t), t.count(" "), t.count("e"))[: self.dims]] for t in texts]
+
+    def embed_assets(self, text, assets):
+        return [float(len(text)), float(sum(a["kind"] == "image" for a in assets)), float(len(assets))][: self.dims]
+
+
+def embedded_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task of every document for five models: two for texts, one for assets, which every third document has, one whose vectors are of the wrong length, and one without a provider."""
+    texts = X.raw_documents(spark, sf_dir)
+    number = F.col("entity_id").cast("long")
+    asset = lambda kind: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit("http://a/"), F.col("entity_id")).alias("url"))
+    assets = texts.filter(number % 3 == 0).select("entity_type", "entity_id", F.when(number % 2 == 0, F.array(asset("image"), asset("video"))).otherwise(F.array(asset("image"))).alias("assets"))
+    runtime = Runtime({"text3": Counts(3), "text2": Counts(2), "short": Counts(1)}, {"vl3": Counts(3)}, asset_urls=assets)
+    models = spark.createDataFrame([(m,) for m in ("text3", "text2", "short", "vl3", "none")], "model string")
+    tasks = texts.select(*KEY).crossJoin(F.broadcast(models)).select(*Q.KEY, _now().alias("next_run_at"), F.lit(2).alias("attempts"))
+    got = runtime.embed(tasks, texts, {"text3": 3, "text2": 2, "short": 2, "vl3": 3})
+    return got.select(*Q.KEY, F.size("embedding").cast("long").alias("dims"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("head"), F.round(F.element_at("embedding", -1).cast("double"), 5).alias("tail"), "error", "missing")
+
+
 def index_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index names of a model for every source and size of text."""
     rows = table(spark, sf_dir, "documents").select("source", F.col("n_chars").cast("string").alias("dims")).distinct()
@@ -115,7 +142,7 @@ def index_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "latest_changes": latest_changes, "dirty_batch": dirty_batch, "backfill_page": backfill_page, "missing_embeddings": missing_embeddings, "upsert_documents": upsert_documents, "delete_documents": delete_documents, "upsert_vectors": upsert_vectors,
-    "prune_tasks": prune_tasks, "enqueue_tasks": enqueue_tasks, "lease_tasks": lease_tasks, "settle_tasks": settle_tasks, "dead_letters": dead_letters, "index_suffixes": index_suffixes,
+    "prune_tasks": prune_tasks, "enqueue_tasks": enqueue_tasks, "lease_tasks": lease_tasks, "settle_tasks": settle_tasks, "dead_letters": dead_letters, "embedded_by_model": embedded_by_model, "index_suffixes": index_suffixes,
 }
 
 _T = f"TIMESTAMP '{NOW}'"
@@ -151,5 +178,10 @@ SQL = {
     UNION ALL SELECT {_TASK} FROM results WHERE NOT held
     UNION ALL SELECT entity_type, entity_id, model, language, reason, n::INTEGER, {_T} + to_seconds((CASE WHEN slow THEN least(900 * pow(2, n - 1), 604800) ELSE least(5 * pow(2, n - 1), 600) END)::BIGINT), started_at FROM results WHERE held AND failed AND n < 10""",
     "dead_letters": f"WITH {_RESULTS} SELECT entity_type, entity_id, model, language, reason, 'failed' AS error, n::INTEGER AS attempts, {_T} AS failed_at FROM results WHERE held AND failed AND n >= 10",
+    "embedded_by_model": f"""WITH docs AS (SELECT source AS entity_type, doc_id::VARCHAR AS entity_id, lang AS language, doc_id, text, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' AS blank, coalesce(length(text), 0)::DOUBLE AS a, coalesce(length(text) - length(replace(text, ' ', '')), 0)::DOUBLE AS b, coalesce(length(text) - length(replace(text, 'e', '')), 0)::DOUBLE AS c FROM documents),
+    made AS (SELECT *, unnest(['text3', 'text2', 'short', 'vl3', 'none']) AS model FROM docs),
+    vectors AS (SELECT *, blank OR (model = 'vl3' AND doc_id % 3 <> 0) AS missing, CASE model WHEN 'text3' THEN [a, b, c] WHEN 'text2' THEN [a, b] WHEN 'vl3' THEN CASE WHEN doc_id % 3 = 0 THEN [a, 1, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END] END END AS v FROM made)
+    SELECT entity_type, entity_id, language, model, CASE WHEN NOT missing THEN len(v)::BIGINT END AS dims, CASE WHEN NOT missing THEN round((v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))))::FLOAT::DOUBLE, 5) END AS head, CASE WHEN NOT missing THEN round((v[len(v)] / sqrt(list_sum(list_transform(v, lambda x: x * x))))::FLOAT::DOUBLE, 5) END AS tail,
+      CASE WHEN NOT missing THEN CASE model WHEN 'short' THEN 'a vector of 1 numbers for ' || chr(39) || 'short' || chr(39) WHEN 'none' THEN 'no provider for ' || chr(39) || 'none' || chr(39) END END AS error, missing FROM vectors""",
     "index_suffixes": "SELECT DISTINCT source, n_chars::VARCHAR AS dims, substr(sha1(source || ':' || n_chars::VARCHAR), 1, 16) AS suffix FROM documents",
 }

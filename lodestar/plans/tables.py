@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.session import table
+from lodestar.functions.trigrams import with_trigrams
+from lodestar.operators.keyword import trigram_postings
+from lodestar.session import shared_dir, table
 from lodestar.sources.documents import prepared
 
 MODEL = "m64"
@@ -17,10 +21,47 @@ NATIVE = [
 ]
 
 
-def documents(spark: SparkSession, sf_dir: str, config: str | None = "simple") -> DataFrame:
-    """``documents`` by source, id and language."""
-    raw = table(spark, sf_dir, "documents").select(F.col("source").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id"), F.col("lang").alias("language"), "text")
-    return prepared(raw, config)
+#: Texts in scripts that the test tables lack, with their language and folded form.
+SCRIPTS = [
+    ("ru", "Привет, большой мир", "privet bolshoi mir"), ("el", "Ελληνικά κείμενα", "ellenika keimena"), ("ja", "東京タワー ものがたり", "dong jing tawa monogatari"), ("ko", "기생충 봉준호", "gisaengcung bongjunho"), ("zh", "卧虎藏龙", "wo hu cang long"),
+    ("fr", "naïve cafe\u0301 déjà", "naive cafe deja"), ("en", "\ufb01ne ｆｕｌｌ ｗｉｄｔｈ", "fine full width"), ("he", "שלום עולם", "slwm wlm"),
+]
+#: What has been stored, by application, data directory and configuration.
+_stored: dict[tuple, str] = {}
+
+
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` by source, id and language, as a host has them."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id"), F.col("lang").alias("language"), "text")
+
+
+def store_documents(spark: SparkSession, sf_dir: str, config: str = "simple") -> str:
+    """Writes the search documents of a data directory, by language, with their trigrams, and the trigrams' postings, by gram; says where."""
+    place = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    with_trigrams(prepared(raw_documents(spark, sf_dir), config)).write.partitionBy("language").parquet(f"{place}/documents")
+    trigram_postings(spark.read.parquet(f"{place}/documents")).repartitionByRange("gram", "entity_id").sortWithinPartitions("gram").write.parquet(f"{place}/postings")
+    return place
+
+
+def _place(spark: SparkSession, sf_dir: str, config: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    if key not in _stored:
+        _stored[key] = store_documents(spark, sf_dir, config)
+    return _stored[key]
+
+
+def documents(spark: SparkSession, sf_dir: str, config: str = "simple") -> DataFrame:
+    """The search documents: stored by the first query that asks for them, as maintenance would have stored them before."""
+    return spark.read.parquet(f"{_place(spark, sf_dir, config)}/documents")
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_place(spark, sf_dir, 'simple')}/postings")
+
+
+def types(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """The entity types that there are: a value per source."""
+    return tuple(sorted(r[0] for r in documents(spark, sf_dir).select("entity_type").distinct().collect()))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +77,10 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("source").alias("entity_type"), F.col("vec_id").cast("string").alias("entity_id"), F.lit(MODEL).alias("model"), F.col("lang").alias("language"), "embedding")
 
 
-def native(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(NATIVE, "entity_type string, entity_id string, language string, text string")
-    return prepared(raw, "simple", latin=False)
+def native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and those of ``NATIVE``."""
+    own = prepared(spark.createDataFrame(NATIVE, "entity_type string, entity_id string, language string, text string"), "simple")
+    return documents(spark, sf_dir).select(own.columns).unionByName(own)
 
 
 def stored_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
@@ -70,6 +112,6 @@ DOCUMENTS_SQL = f"""docs AS (
 )"""
 VECTORS_SQL = f"vecs AS (SELECT 'vec' AS entity_type, vec_id::VARCHAR AS entity_id, '{MODEL}' AS model, 'en' AS language, embedding::DOUBLE[] AS embedding, label, vec_id FROM embeddings)"
 DOCUMENT_VECTORS_SQL = f"dvecs AS (SELECT source AS entity_type, vec_id::VARCHAR AS entity_id, '{MODEL}' AS model, lang AS language, embedding::DOUBLE[] AS embedding FROM embeddings JOIN documents ON doc_id = vec_id)"
-NATIVE_SQL = "native(entity_type, entity_id, language, raw_document) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', trim('{d}'))" for a, b, c, d in NATIVE) + ")"
+NATIVE_SQL = DOCUMENTS_SQL + ", native AS (SELECT entity_type, entity_id, language, raw_document FROM docs UNION ALL VALUES " + ", ".join(f"('{a}', '{b}', '{c}', trim('{d}'))" for a, b, c, d in NATIVE) + ")"
 CHANGES_SQL = "changes AS (SELECT 'user' AS entity_type, user_id::VARCHAR AS entity_id, 'en' AS language, event_type = 'error' AS is_deleted, event_type AS reason, ts AS updated_at, event_id AS seq FROM events)"
 TASKS_SQL = f"tasks AS (SELECT event_type AS entity_type, event_id::VARCHAR AS entity_id, '{MODEL}' AS model, 'en' AS language, 'dirty' AS reason, (user_id % 11)::INTEGER AS attempts, ts AS next_run_at, NULL::TIMESTAMP AS started_at, ts AS created_at, ts AS updated_at FROM events)"

@@ -26,16 +26,16 @@ def blank(c: Column | str) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def prepared(raw: DataFrame, config: str | None = None, latin: bool = True) -> DataFrame:
+def prepared(raw: DataFrame, config: str | None = None) -> DataFrame:
     """Host texts (entity_type, entity_id, language, text) as documents: folded text, trimmed text and lexemes.
 
     Without ``config`` every language has its own; rows of blank ids, types or
-    languages go. A text without letters has an empty document. ``latin`` folds
-    with built-in expressions, which is right for Latin script.
+    languages go. A text without letters has an empty document. Documents are folded
+    as queries are, whatever their script.
     """
     rows = raw.filter(~blank("entity_type") & ~blank("entity_id") & ~blank("language"))
     text = F.trim(F.coalesce("text", F.lit("")))
-    rows = rows.select(*DOC_KEY, text.alias("raw_document"), F.coalesce(T.fold_latin(text) if latin else T.fold_any(text), F.lit("")).alias("document"))
+    rows = rows.select(*DOC_KEY, text.alias("raw_document"), F.coalesce(T.fold_column(text), F.lit("")).alias("document"))
     return rows.withColumn("lexemes", L.lexemes_by_language("raw_document", "language") if config is None else L.lexemes("raw_document", config))
 
 
@@ -77,8 +77,9 @@ def delete_ids(rows: DataFrame, entity_type: str, language: str, ids: Iterable[s
 
 
 def vector_changes(vectors: DataFrame, batch: DataFrame, now: Column, bounded: bool = False) -> DataFrame:
-    """The rows to be put in for a batch (key, embedding): keys keep their created_at, rows without a vector are left out."""
-    batch = latest(batch.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*VECTOR_KEY, "embedding"), VECTOR_KEY, F.xxhash64("embedding"))
+    """The rows to be put in for a batch (key, embedding): keys keep their created_at, rows with a null vector are left out, an empty one is an error."""
+    whole = F.when(F.size("embedding") == 0, F.raise_error(F.lit("a vector is empty"))).otherwise(F.col("embedding")).alias("embedding")
+    batch = latest(batch.filter(F.col("embedding").isNotNull()).select(*VECTOR_KEY, whole), VECTOR_KEY, F.xxhash64("embedding"))
     old = _created(vectors, VECTOR_KEY, batch, bounded)
     return batch.join(old, VECTOR_KEY, "left").select(*VECTOR_KEY, "embedding", F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
 
@@ -106,7 +107,7 @@ def upsert_models(models: DataFrame, active: list[tuple[str, int, str]]) -> Data
     if not active:
         return models
     spark = models.sparkSession
-    return spark.createDataFrame(active, schemas.TABLES["embedding_models"]).dropDuplicates(["model"])
+    return spark.createDataFrame([(name.strip(), dims, modality) for name, dims, modality in active], schemas.TABLES["embedding_models"]).dropDuplicates(["model"])
 
 
 def of_models(rows: DataFrame, models: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import urllib.error
 import urllib.request
@@ -43,7 +44,7 @@ class HashProvider:
         for t in texts:
             v = np.zeros(self.dims)
             for w in t.lower().split():
-                v += np.random.default_rng(int.from_bytes(w.encode()[:16].ljust(16, b"\0"), "little")).standard_normal(self.dims)
+                v += np.random.default_rng(int.from_bytes(hashlib.sha256(w.encode()).digest(), "little")).standard_normal(self.dims)
             out.append(unit_of(v.tolist()))
         return out
 

@@ -20,8 +20,9 @@ from pyspark.sql.types import StructType
 from lodestar.sources import schemas
 
 
-#: Changes after which a table is written anew.
+#: Changes after which they are put together, and the share of a table (one in so many rows) from which it is written anew.
 CHANGES = 20
+SHARE = 10
 
 
 def _ddl(schema: StructType) -> str:
@@ -65,15 +66,20 @@ class Store:
         rows = schemas.empty(self.spark, name) if pointer["version"] is None else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{pointer['version']}")
         if not pointer["changes"]:
             return rows
-        changed = None
-        for k, version in enumerate(pointer["changes"]):
-            part = self.spark.read.schema(f"{_ddl(schema)}, _gone boolean").parquet(f"{self.root}/{name}/{version}").withColumn("_nth", F.lit(k))
-            changed = part if changed is None else changed.unionByName(part)
         keys = list(schemas.KEYS[name])
-        last = changed.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_nth").desc(), F.col("_gone")))).filter("_k = 1")
+        last = self._last(name, pointer["changes"])
         kept = rows.join(last.select(*keys), keys, "left_anti").select(*schema.fieldNames())
         return kept.unionByName(last.filter("not _gone").select(*schema.fieldNames()))
 
+    def _last(self, name: str, changes: list[str]) -> DataFrame:
+        """The last change of every key, and whether it is a deletion (``_gone``)."""
+        schema, keys, changed = schemas.TABLES[name], list(schemas.KEYS[name]), None
+        for k, version in enumerate(changes):
+            part = self.spark.read.schema(f"{_ddl(schema)}, _gone boolean").parquet(f"{self.root}/{name}/{version}").withColumn("_nth", F.lit(k))
+            changed = part if changed is None else changed.unionByName(part)
+        order = Window.partitionBy(*keys).orderBy(F.col("_nth").desc(), F.col("_gone"))
+        return changed.withColumn("_k", F.row_number().over(order)).filter("_k = 1").select(*schema.fieldNames(), "_gone")
+
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         """Makes ``rows`` the current version and reads it back; what was there before is kept until ``prune``."""
         version = f"v-{uuid.uuid4().hex}"
@@ -87,7 +93,7 @@ class Store:
     def merge(self, name: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
         """Replaces and adds ``upserts`` and removes the keys of ``deletes``; a key in both is replaced. Only the change is written.
 
-        After ``CHANGES`` of them the table is written anew.
+        After ``CHANGES`` of them they are put together.
         """
         rows = []
         if upserts is not None:
@@ -100,13 +106,30 @@ class Store:
         version = f"c-{uuid.uuid4().hex}"
         (rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])).write.parquet(f"{self.root}/{name}/{version}")
         pointer = self._pointer(name) or {"version": None, "changes": []}
-        self._point(name, {"version": pointer["version"], "changes": [*pointer["changes"], version]})
-        return self.write(name, self.read(name)) if len(pointer["changes"]) + 1 >= CHANGES else self.read(name)
+        pointer = pointer | {"changes": [*pointer["changes"], version]}
+        self._point(name, pointer)
+        return self._compacted(name, pointer) if len(pointer["changes"]) >= CHANGES else self.read(name)
+
+    def _compacted(self, name: str, pointer: dict) -> DataFrame:
+        """Puts the changes together: into one file while they are few beside the table, else into the table, which is written anew."""
+        last = self._last(name, pointer["changes"])
+        base = pointer["version"] and self.spark.read.parquet(f"{self.root}/{name}/{pointer['version']}").count()
+        if not base or SHARE * last.count() >= base:
+            return self.write(name, self.read(name))
+        version = f"c-{uuid.uuid4().hex}"
+        last.write.parquet(f"{self.root}/{name}/{version}")
+        self._point(name, pointer | {"changes": [version]})
+        return self.read(name)
 
     def write_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Writes several tables, of which each may be computed from the others' versions before."""
         return {name: self.write(name, rows) for name, rows in tables.items()}
 
+    def drop(self, place: str) -> None:
+        """Deletes a folder under ``root`` that isn't needed any more."""
+        files, base = self._files()
+        files.delete_dir(base + place.removeprefix(self.root))
+
     def prune(self, name: str) -> int:
         """Deletes what isn't current and says how many versions that were."""
         pointer = self._pointer(name)

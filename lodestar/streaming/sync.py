@@ -1,14 +1,12 @@
 """One pass of maintenance: changes, backfill, then embedding tasks.
 
 Host data comes as DataFrames: ``texts`` (entity_type, entity_id, language,
-text) for documents and for embedding, and ``entities`` to be listed page by page. The
-provider is the one place where Python runs.
+text) for documents and for embedding, and ``entities`` to be listed page by page.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,19 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.operators.fusion import partial_batches
 from lodestar.sources import documents as D
 from lodestar.sources import schemas
-from lodestar.sources.providers import TEXTS_PER_CALL, Provider, ProviderError
 from lodestar.sources.store import Store
 from lodestar.streaming import tasks as Q
+from lodestar.streaming.runtime import Runtime, dims_of, embedded
 
 DIRTY_KEY = list(schemas.KEYS["search_dirty"])
+#: Rows of a batch that are broadcast; larger batches are joined by a shuffle.
+FEW = 50_000
+
+
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, which are ``most`` at most, to be broadcast if that is few."""
+    return F.broadcast(rows) if most <= FEW else rows
 
 
 @dataclass(frozen=True)
 class SyncOptions:
-    """Bounds of one pass: changes, rows of a page, pages, tasks, lease and retries; ``calls`` to the provider at a time and ``per_second`` of each task's (0: no limit)."""
+    """Bounds of one pass: changes, rows of a page, pages, tasks, lease and retries; ``calls`` to the providers at a time and ``per_second`` of all together (0: no limit).
+
+    The defaults suit a queue that is polled; ``for_cluster`` has those for tables
+    of many millions of rows, where every batch costs a scan.
+    """
 
     lexical_types: tuple[str, ...] = ()
     semantic_types: tuple[str, ...] = ()
@@ -45,6 +53,10 @@ class SyncOptions:
     per_second: float = 0.0
     config: str | None = None
 
+    @staticmethod
+    def for_cluster(**own) -> SyncOptions:
+        return SyncOptions(**{"dirty_batch": 1_000_000, "page": 10_000_000, "pages": 50, "task_batch": 200_000, "lease_seconds": 3600.0, "calls": 256} | own)
+
 
 def dirty_batch(dirty: DataFrame, limit: int) -> DataFrame:
     """The oldest changes with a whole key, ties by key."""
@@ -81,26 +93,27 @@ def apply_changes(store: Store, texts: DataFrame, options: SyncOptions, now: Col
 
     A change is cleared by its key and time, so one that comes meanwhile stays.
     An entity without a row in ``texts`` keeps its document; an empty text
-    deletes it. Of documents and vectors only what changes is written. A pass that dies is done again by the next one.
+    deletes it. Of every table only what changes is written. A pass that dies is done again by the next one.
     """
     state = State.of(store)
     batch = dirty_batch(state.dirty, options.dirty_batch)
     gone = batch.filter(F.coalesce("is_deleted", F.lit(False))).select(*DIRTY_KEY)
     live = batch.filter(~F.coalesce("is_deleted", F.lit(False))).select(*DIRTY_KEY)
-    vectors = state.vectors.join(F.broadcast(gone), DIRTY_KEY, "left_semi")  # dirty_batch rows at most, as below
+    n = options.dirty_batch
+    vectors = state.vectors.join(few(gone, n), DIRTY_KEY, "left_semi")
     store.merge("embedding_vectors", deletes=vectors)
     fresh, emptied = None, gone
     if options.lexical_types:
         wanted = live.filter(F.col("entity_type").isin(*options.lexical_types))
-        fresh, blank = D.document_changes(state.documents, D.prepared(texts.join(F.broadcast(wanted), DIRTY_KEY), options.config), now, bounded=True)
+        fresh, blank = D.document_changes(state.documents, D.prepared(texts.join(few(wanted, n), DIRTY_KEY), options.config), now, bounded=n <= FEW)
         emptied = gone.unionByName(blank)
     store.merge("search_documents", fresh, emptied)
-    tasks = state.tasks.join(F.broadcast(gone), DIRTY_KEY, "left_anti")
+    tasks = None
     if options.semantic_types:
         wanted = live.filter(F.col("entity_type").isin(*options.semantic_types)).crossJoin(F.broadcast(state.models.select("model")))  # a row per model
-        tasks = Q.enqueue(tasks.select(*Q.COLUMNS), wanted, "dirty", now)
-    store.write("embedding_tasks", tasks)
-    store.write("search_dirty", state.dirty.join(F.broadcast(batch.select(*DIRTY_KEY, "updated_at")), [*DIRTY_KEY, "updated_at"], "left_anti"))
+        tasks = Q.enqueue(state.tasks.join(few(wanted.select(*Q.KEY), n), Q.KEY, "left_semi"), wanted, "dirty", now)
+    store.merge("embedding_tasks", tasks, state.tasks.join(few(gone, n), DIRTY_KEY, "left_semi"))
+    store.merge("search_dirty", deletes=state.dirty.join(few(batch.select(*DIRTY_KEY, "updated_at"), n), [*DIRTY_KEY, "updated_at"], "left_semi"))
 
 
 def page_after(entities: DataFrame, entity_type: str, language: str, cursor: str, size: int) -> DataFrame:
@@ -135,11 +148,12 @@ def backfill(store: Store, entities: DataFrame, texts: DataFrame, options: SyncO
             page = page_after(entities, entity_type, language, cursor, options.page)
             count, last = page.agg(F.count(F.lit(1)), F.max("entity_id")).first()
             if count and model is None:
-                batch = D.prepared(texts.join(F.broadcast(page), DIRTY_KEY), options.config)
-                store.merge("search_documents", *D.document_changes(store.read("search_documents"), batch, now, bounded=True))
+                batch = D.prepared(texts.join(few(page, options.page), DIRTY_KEY), options.config)
+                store.merge("search_documents", *D.document_changes(store.read("search_documents"), batch, now, bounded=options.page <= FEW))
             elif count:
                 missing = D.missing_embeddings(page, store.read("embedding_vectors"), model).withColumn("model", F.lit(model))
-                store.write("embedding_tasks", Q.enqueue(store.read("embedding_tasks"), missing, "model_backfill", now))
+                old = store.read("embedding_tasks").join(few(missing.select(*Q.KEY), options.page), Q.KEY, "left_semi")
+                store.merge("embedding_tasks", Q.enqueue(old, missing, "model_backfill", now))
             cursor, state = last or cursor, "done" if count < options.page else "running"
         except Exception as e:
             state, error = "failed", str(e)[:1000]
@@ -152,78 +166,50 @@ def backfill(store: Store, entities: DataFrame, texts: DataFrame, options: SyncO
     return done
 
 
-def embed(leased: DataFrame, texts: DataFrame, provider: Provider, calls: int = 8, per_second: float = 0.0) -> DataFrame:
-    """Results of leased tasks: key, lease, attempts, embedding, error, status, missing.
-
-    Tasks of a model go to the provider in runs of 25 texts, on ``calls`` partitions
-    at once. A blank or missing text is no error. A failed call fails its run.
-    """
-    rows = leased.join(texts, DIRTY_KEY, "left").select(*Q.KEY, F.col("next_run_at").alias("lease"), "attempts", "text").repartition(max(1, calls), "model", F.pmod(F.xxhash64(*Q.KEY), F.lit(max(1, calls))))
-    schema = ", ".join([*(f"{k} string" for k in Q.KEY), "lease timestamp", "attempts int", "embedding array<float>", "error string", "status int", "missing boolean"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            blank = batch["text"].isna() | (batch["text"].fillna("").str.strip() == "")
-            out = batch.drop(columns="text").assign(embedding=None, error=None, status=None, missing=blank.to_numpy())
-            out["embedding"] = out["embedding"].astype(object)
-            for _, group in batch[~blank].groupby("model", sort=True):
-                for index in partial_batches(list(group.index), TEXTS_PER_CALL):
-                    if per_second > 0:
-                        time.sleep(1 / per_second)
-                    try:
-                        found = provider.embed(list(group.loc[index, "text"]))
-                        if len(found) != len(index) or not all(len(v) for v in found):
-                            raise ProviderError("a text has no vector")
-                        for i, v in zip(index, found, strict=True):
-                            out.at[i, "embedding"] = [float(x) for x in v]
-                    except Exception as e:
-                        out.loc[index, "error"] = str(e) or type(e).__name__
-                        out.loc[index, "status"] = getattr(e, "status", None)
-            yield out
-
-    return rows.mapInPandas(run, schema)
-
-
-def drain(store: Store, texts: DataFrame, provider: Provider, options: SyncOptions, now: Column) -> int:
-    """Leases one batch of tasks, embeds their texts, stores vectors and settles the tasks; says how many were leased."""
-    after, _ = Q.lease(store.read("embedding_tasks"), now, options.task_batch, options.lease_seconds)
-    until = (now + F.make_dt_interval(secs=F.lit(float(options.lease_seconds)))).cast("timestamp")
-    tasks = store.write("embedding_tasks", after)
-    leased = tasks.filter((F.col("next_run_at") == until) & (F.col("updated_at") == now))
+def drain(store: Store, texts: DataFrame, runtime: Runtime, options: SyncOptions, now: Column) -> int:
+    """Leases one batch of tasks, embeds their entities with their models' providers, stores vectors and settles the tasks; says how many were leased."""
+    leased = Q.lease(store.read("embedding_tasks"), now, options.task_batch, options.lease_seconds)[1]
+    place = f"{store.root}/results/{time.time_ns()}"
+    leased.write.parquet(f"{place}/leased")
+    leased = store.spark.read.parquet(f"{place}/leased")
     count = leased.count()
     if not count:
         return 0
+    tasks = store.merge("embedding_tasks", leased)
     # Calls to the provider must not be repeated: their results are written before they are used.
-    place = f"{store.root}/results/{time.time_ns()}"
-    embed(leased, texts, provider, options.calls, options.per_second).write.parquet(place)
-    results = store.spark.read.parquet(place)
-    store.merge("embedding_vectors", D.vector_changes(store.read("embedding_vectors"), results.filter(F.col("error").isNull() & F.col("embedding").isNotNull()), now, bounded=True))
-    settled, letters = Q.settle(tasks, store.read("embedding_dead_letters"), results, now, options.max_attempts, options.backoff, options.backoff_most)
+    runtime.embed(leased, texts, dims_of(store), options.calls, options.per_second).write.parquet(f"{place}/results")
+    results = store.spark.read.parquet(f"{place}/results")
+    store.merge("embedding_vectors", D.vector_changes(store.read("embedding_vectors"), embedded(results), now, bounded=True))
+    own = few(results.select(*Q.KEY), count)
+    held, letters = tasks.join(own, Q.KEY, "left_semi"), store.read("embedding_dead_letters").join(own, Q.KEY, "left_semi")
+    settled, letters = Q.settle(held, letters, results, now, options.max_attempts, options.backoff, options.backoff_most)
     # Letters first: a job that dies in between repeats the task rather than losing it.
-    store.write("embedding_dead_letters", letters)
-    store.write("embedding_tasks", settled)
+    store.merge("embedding_dead_letters", letters)
+    store.merge("embedding_tasks", settled, held)
+    store.drop(place)
     return count
 
 
-def sync_once(store: Store, entities: DataFrame, texts: DataFrame, provider: Provider | None, options: SyncOptions, now: Column | None = None) -> None:
-    """Changes, then backfill, then tasks; the last is left out without models or a provider."""
+def sync_once(store: Store, entities: DataFrame, texts: DataFrame, runtime: Runtime | None, options: SyncOptions, now: Column | None = None) -> None:
+    """Changes, then backfill, then tasks; the last is left out without models or a runtime with providers."""
     now = now if now is not None else F.lit(pd.Timestamp.now(tz="UTC").to_pydatetime())
     if store.read("search_dirty").limit(1).count():
         apply_changes(store, texts, options, now)
     backfill(store, entities, texts, options, now)
-    if provider is not None and store.read("embedding_models").limit(1).count():
-        drain(store, texts, provider, options, now)
+    if runtime is not None and runtime.models() and store.read("embedding_models").limit(1).count():
+        drain(store, texts, runtime, options, now)
 
 
-def follow(changes: DataFrame, store: Store, entities: DataFrame, texts: DataFrame, provider: Provider | None, options: SyncOptions, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def follow(changes: DataFrame, store: Store, entities: DataFrame, texts: DataFrame, runtime: Runtime | None, options: SyncOptions, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Runs a pass for every micro-batch of a stream of changes (key, is_deleted, reason, updated_at); without ``every``, over what is there now."""
 
     def step(batch: DataFrame, _: int) -> None:
         log = batch.withColumn("seq", F.lit(1)).withColumn("created_at", F.col("updated_at"))
-        waiting = store.read("search_dirty").withColumn("seq", F.lit(0))
+        # Of the changes that wait only those that are overtaken are rewritten.
+        waiting = store.read("search_dirty").join(log.select(*DIRTY_KEY).distinct(), DIRTY_KEY, "left_semi").withColumn("seq", F.lit(0))
         columns = [f.name for f in schemas.TABLES["search_dirty"].fields]
-        store.write("search_dirty", latest_changes(waiting.select(*columns, "seq").unionByName(log.select(*columns, "seq"))))
-        sync_once(store, entities, texts, provider, options)
+        store.merge("search_dirty", latest_changes(waiting.select(*columns, "seq").unionByName(log.select(*columns, "seq"))))
+        sync_once(store, entities, texts, runtime, options)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ def test_fold(text, want):
 
 def test_fold_columns_agree(spark):
     texts = ["Straße Ærø ÀÉÎõü", " -- ", "a\tb\n c_d", "œuvre ŁÓDŹ ıİ", "1½ x²", "", None, "don't", "ŉ Ǆ"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold_latin("t").alias("latin"), T.fold_any(F.col("t")).alias("any")).collect()
-    for r in rows:
+    other = ["Привет мир", "鬼滅の刃", "東京タワー", "기생충", "Ελληνικά", "cafe\u0301", "\ufb01ne ｆｕｌｌ", "שלום", "हिन्दी", "“quoted” — …", "\U0001f600 x"]
+    rows = spark.createDataFrame([(t,) for t in texts + other], "t string").select("t", T.fold_latin("t").alias("latin"), T.fold_any(F.col("t")).alias("any"), T.fold_column("t").alias("column")).collect()
+    assert [r["column"] for r in rows[len(texts) :]] == [T.fold(t) for t in other] == ["privet mir", "gui mie noren", "dong jing tawa", "gisaengcung", "ellenika", "cafe", "fine full", "slwm", "hainadai", "quoted", "x"]
+    for r in rows[: len(texts)]:
+        assert r["column"] == r["any"]
         assert r["any"] == (None if r["t"] is None else T.fold(r["t"]))
         assert r["latin"] == r["any"], r["t"]
 
@@ -69,12 +74,16 @@ def test_scores(spark):
 def test_vectors(spark):
     rows = spark.createDataFrame([([1.0, 0.0, 0.0],), ([1.0, -1.0, 2.0],), ([0.0, 0.0, 0.0],), ([1.0],), (None,)], "v array<float>")
     q = [1.0, 2.0, -1.0]
-    got = rows.select(V.cosine_to("v", q).alias("a"), V.cosine("v", F.array(*map(F.lit, q))).alias("b"), V.hamming_to("v", q).alias("h"), V.unit("v").alias("u")).collect()
-    assert [None if r["a"] is None else round(r["a"], 6) for r in got] == [0.408248, -0.5, None, None, None]
+    got = V.with_signs(rows.withColumnRenamed("v", "embedding")).select(V.cosine("embedding", F.array(*map(F.lit, q))).alias("b"), V.signs_apart("signs", q).alias("h"), V.unit("embedding").alias("u"), F.size("signs").alias("n")).collect()
     assert [None if r["b"] is None else round(r["b"], 6) for r in got] == [0.408248, -0.5, None, None, None]
-    assert [r["h"] for r in got][:3] == [1, 2, 2] and got[2]["u"] == [0, 0, 0]
-    long = [float(i - 150) for i in range(300)]
-    assert abs(spark.createDataFrame([(long,)], "v array<float>").select(V.cosine_to("v", long)).first()[0] - 1) < 1e-9
+    assert [r["h"] for r in got][:3] == [1, 2, 2] and got[2]["u"] == [0, 0, 0] and got[4]["h"] is None
+    rng = np.random.default_rng(1)
+    for dims in (1, 63, 64, 65, 1024, 2560):
+        v = rng.normal(size=(5, dims))
+        packed = V.packed_signs(v)
+        assert packed.shape == (5, -(-dims // 64)) and all(packed[i, k // 64] >> (k % 64) & 1 == (v[i, k] > 0) for i in range(5) for k in range(dims))
+        apart = spark.createDataFrame([([int(x) for x in p],) for p in packed], "s array<long>").select(V.signs_apart("s", v[0].tolist())).collect()
+        assert [r[0] for r in apart] == ((v > 0) != (v[0] > 0)).sum(1).tolist()
     groups = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0]), (2, [1.0, 2.0]), (3, []), (1, None)], "k int, embedding array<float>")
     means = {r["k"]: r["embedding"] for r in V.mean_unit_vectors(groups, ["k"]).collect()}
     assert [round(x, 4) for x in means[1]] == [0.7071, 0.7071] and means[2] is None and means[3] is None
@@ -86,7 +95,7 @@ def test_trigrams(spark):
     a, b = set(G.trigrams_of("word")), set(G.trigrams_of("two words"))
     assert round(len(a & b) / len(a | b), 6) == 0.363636
     texts = ["Two words, two", "", None, "a b", "ünïcode x-y", "  lead", "a"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.trigrams("t").alias("g"), G.shared_with("t", G.trigrams_of("two a code lead")).alias("n")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.trigrams("t").alias("g"), G.shared_with(G.trigrams("t"), G.trigrams_of("two a code lead")).alias("n")).collect()
     for r in rows:
         if r["t"] is not None:
             assert set(r["g"]) == set(G.trigrams_of(r["t"]))

@@ -61,8 +61,11 @@ def test_documents(spark):
     two = D.upsert_documents(one, D.prepared(spark.createDataFrame([("t", "1", "en", "new"), ("t", "2", "xx", "")], TEXT)), ts(LATER)).collect()
     assert len(two) == 1 and two[0]["document"] == "new" and two[0]["created_at"] < two[0]["updated_at"]
     assert D.delete_ids(one, "t", "en", ["1", " "]).count() == 1 and D.delete_ids(one, "t", "en", []).count() == 2 and D.delete_ids(one, " ", "en", ["1"]).count() == 2
-    vectors = D.upsert_vectors(schemas.empty(spark, "embedding_vectors"), spark.createDataFrame([("t", "1", "m", "en", [1.0]), ("t", "2", "m", "en", []), ("t", "3", "m", "en", None)], "entity_type string, entity_id string, model string, language string, embedding array<float>"), ts(NOW))
+    batch = spark.createDataFrame([("t", "1", "m", "en", [1.0]), ("t", "2", "m", "en", []), ("t", "3", "m", "en", None)], "entity_type string, entity_id string, model string, language string, embedding array<float>")
+    vectors = D.upsert_vectors(schemas.empty(spark, "embedding_vectors"), batch.filter("entity_id <> '2'"), ts(NOW))
     assert vectors.count() == 1
+    with pytest.raises(Exception, match="empty"):
+        D.upsert_vectors(schemas.empty(spark, "embedding_vectors"), batch, ts(NOW)).collect()
     missing = D.missing_embeddings(spark.createDataFrame([("t", "1", "en"), ("t", "9", "en"), ("t", "9", "en"), ("t", " ", "en")], "entity_type string, entity_id string, language string"), vectors, "m")
     assert [r["entity_id"] for r in missing.collect()] == ["9", "9"]
 
@@ -98,12 +101,12 @@ def test_pass(spark, tmp_path):
     entities = texts.select("entity_type", "entity_id", "language")
     options = S.SyncOptions(lexical_types=("page",), semantic_types=("page",), languages=("en",), page=20, pages=3, task_batch=12, config="simple")
     store.write("embedding_models", D.upsert_models(store.read("embedding_models"), [("m", 8, "text")]))
-    S.sync_once(store, entities, texts, HashProvider(8), options, ts(NOW))
+    S.sync_once(store, entities, texts, Runtime({"m": HashProvider(8)}), options, ts(NOW))
     # A page of documents and one of tasks, of which a batch is done.
     assert store.read("search_documents").count() == 20 and store.read("embedding_vectors").count() == 12 and store.read("embedding_tasks").count() == 8
     state = store.read("search_documents_backfill_state").first()
     assert (state["cursor"], state["state"]) == ("19", "running")
-    S.sync_once(store, entities, texts, HashProvider(8), options, ts(LATER))
+    S.sync_once(store, entities, texts, Runtime({"m": HashProvider(8)}), options, ts(LATER))
     assert store.read("search_documents_backfill_state").first()["state"] == "done" and store.read("search_documents").count() == 30
     assert store.read("embedding_vectors").count() == 24 and store.read("embedding_tasks").count() == 7
     # A change, a deletion and one with a blank key, which stays.
@@ -119,10 +122,10 @@ def test_pass(spark, tmp_path):
     due = "2024-01-03 00:00:00"
     tasks = store.write("embedding_tasks", store.read("embedding_tasks").withColumn("attempts", F.when(F.col("entity_id") == F.lit("24"), 9).otherwise(0)))
     assert tasks.count() == 7
-    assert S.drain(store, texts, Broken(), options, ts(due)) == 7
+    assert S.drain(store, texts, Runtime({"m": Broken()}), options, ts(due)) == 7
     # The blank text is done, one is dead, five wait.
     assert store.read("embedding_dead_letters").count() == 1 and store.read("embedding_tasks").count() == 5
-    assert S.drain(store, texts, Broken(), options, ts(due)) == 0
+    assert S.drain(store, texts, Runtime({"m": Broken()}), options, ts(due)) == 0
 
 
 def test_stream(spark, tmp_path):
@@ -162,29 +165,3 @@ def test_providers(spark):
     with pytest.raises(ProviderError) as e:
         HttpProvider("http://x", "m", opener=refuse).embed(["a"])
     assert e.value.status == 429
-
-
-class Assets:
-    def embed_assets(self, text, assets):
-        if text == "bad":
-            raise ProviderError("no", 400)
-        return [3.0 * len(assets), 4.0 * len(assets)]
-
-
-def test_runtime(spark):
-    with pytest.raises(ValueError, match="required"):
-        Runtime()
-    with pytest.raises(ValueError, match="both"):
-        Runtime({"m": HashProvider(4)}, {"m": Assets()})
-    rt = Runtime({"m": HashProvider(4)}, {"v": Assets()})
-    assert rt.models() == ["m", "v"] and rt.takes_assets("v") and not rt.takes_assets("m") and len(rt.embed_query("m", "x")) == 4
-    assert rt.specs({"m": 4, "v": 2}) == [("m", 4, "text"), ("v", 2, "vl")]
-    texts = spark.createDataFrame([("t", "1", "en", "a b"), ("t", "2", "en", " "), ("t", "3", "en", None)], TEXT)
-    got = {r["entity_id"]: r for r in rt.embed_texts(texts, "m", 2).collect()}
-    assert len(got["1"]["embedding"]) == 4 and got["2"]["missing"] and got["3"]["missing"]
-    rows = spark.createDataFrame([("t", "1", "en", None, [("image", "u")]), ("t", "2", "en", "x", []), ("t", "3", "en", "bad", [("video", "u")]), ("t", "4", "en", "x", None)], "entity_type string, entity_id string, language string, text string, assets array<struct<kind:string,url:string>>")
-    vl = rt.embed_assets(rows, "v", 2)
-    got = {r["entity_id"]: r for r in vl.collect()}
-    assert [round(x, 3) for x in got["1"]["embedding"]] == [0.6, 0.8] and got["2"]["missing"] and got["4"]["missing"] and (got["3"]["error"], got["3"]["status"]) == ("no", 400)
-    assert rt.store(schemas.empty(spark, "embedding_vectors"), vl, ts(NOW)).count() == 1
-    assert rt.enqueue(schemas.empty(spark, "embedding_tasks"), texts, "r", ts(NOW)).count() == 6

@@ -3,9 +3,12 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from sqlcheck import SF
 
 from lodestar.operators import evaluation as E
-from lodestar.operators import fusion, keyword, semantic
+from lodestar.functions import trigrams as G
+from lodestar.functions import vectors as V
+from lodestar.operators import ann, fusion, keyword, semantic
 from lodestar.operators.common import Scope, condition
 from lodestar.operators.search import Searcher, SearchOptions
 from lodestar.plans import tables as X
@@ -69,6 +72,35 @@ def test_trigram_and_typeahead(docs):
         s.typeahead("a", [" "])
 
 
+def test_folded_scripts_find_themselves(spark):
+    """Every text, folded when stored, is found by itself with similarity 1, by a scan, by stored sets and by postings."""
+    rows = [("s", str(i), g, t) for i, (g, t, _) in enumerate(X.SCRIPTS)]
+    own = prepared(spark.createDataFrame(rows, DOC), "simple").cache()
+    assert [r["document"] for r in own.orderBy("entity_id").collect()] == [f for _, _, f in X.SCRIPTS]
+    stored = G.with_trigrams(own).cache()
+    postings = keyword.trigram_postings(stored).cache()
+    for i, (g, t, _) in enumerate(X.SCRIPTS):
+        for found in (keyword.trigram_search(own, t, Scope(g)), keyword.trigram_search(stored, t, Scope(g)), keyword.trigram_search(stored, t, Scope(g), postings=postings)):
+            top = found.first()
+            assert (top["entity_id"], top["score"]) == (str(i), 1.0)
+
+
+def test_plans(spark):
+    """One fold for a stored row, no fold and no scan of documents in a search by postings, no exchange for lexeme positions."""
+    from lodestar.functions import lexemes as L
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    docs, postings = X.documents(spark, SF), X.postings(spark, SF)
+    for df in (keyword.trigram_search(docs, "anthing the ouen tion", Scope("en"), 20, postings=postings), keyword.trigram_search(docs, "anthing the ouen tion", Scope("en"), 20), keyword.keyword_search(docs, '"of the" that', Scope("en"), 20, "simple")):
+        assert "translate" not in plan(df) and "regexp_replace" not in plan(df)
+    assert "document" not in plan(keyword.trigram_search(docs, "anthing", Scope("en"), postings=postings)).split("ReadSchema")[1] and "In(gram" in plan(keyword.trigram_search(docs, "anthing", Scope("en"), postings=postings))
+    assert "Exchange" not in plan(L.positions(docs, "entity_type", "entity_id", "language"))
+    raw = prepared(X.raw_documents(spark, SF), "simple")
+    assert plan(G.with_trigrams(raw)).count("translate(") <= 2
+
+
 def test_condition_literals(spark):
     df = spark.createDataFrame([("it's :x", 1), ("b", 2)], "s string, n int")
     assert df.filter(condition("s = :v AND 'it''s :no' <> @w", {"v": "it's :x", "w": "z"})).count() == 1
@@ -78,7 +110,7 @@ def test_condition_literals(spark):
 
 
 def test_native(spark):
-    docs = X.native(spark)
+    docs = X.native(spark, SF)
     assert ids(keyword.native_search(docs, "鬼滅", Scope("ja"))) == [("series", "1")]
     assert ids(keyword.native_search(docs, "鬼", Scope("ja"), prefix=True)) == [("series", "2"), ("series", "1")]
     assert ids(keyword.native_search(docs, "tok", Scope("ja"), prefix=True)) == [("series", "10"), ("film", "4"), ("series", "11")]
@@ -106,6 +138,37 @@ def test_semantic(vecs):
     assert semantic.similar_to(vecs, "gallery", "77", "m", scope).count() == 0
 
 
+def test_wide_vectors_and_cells(spark, tmp_path):
+    """At the sizes of today's models: exact, in two stages with and without stored signs, and through cells."""
+    rng = np.random.default_rng(8)
+    for dims in (1024, 2560):
+        centres = rng.normal(size=(6, dims))
+        v = (centres[np.arange(300) % 6] + 0.7 * rng.normal(size=(300, dims))).astype(np.float32)
+        v[7] = v[1]
+        df = spark.createDataFrame([("t", f"{i:03d}", "m", "en", [float(x) for x in v[i]]) for i in range(300)] + [("t", "none", "m", "en", None), ("t", "short", "m", "en", [1.0]), ("t", "zero", "m", "en", [0.0] * dims)], VEC)
+        df.write.parquet(f"{tmp_path}/v{dims}")
+        df = spark.read.parquet(f"{tmp_path}/v{dims}")
+        q = v[1].astype(float)
+        score = (v @ q / np.linalg.norm(v, axis=1) / np.linalg.norm(q)).round(9)
+        want = [f"{i:03d}" for i in sorted(range(300), key=lambda i: (-score[i], i))[:10]]
+        assert [r["entity_id"] for r in semantic.semantic_search(df, "m", q.tolist(), Scope("en"), 10).collect()] == want
+        apart = ((v > 0) != (q > 0)).sum(1)
+        near = sorted(range(300), key=lambda i: (apart[i], i))[:50]
+        two = [f"{i:03d}" for i in sorted(near, key=lambda i: (-score[i], i))[:10]]
+        for rows in (df, V.with_signs(df)):
+            assert [r["entity_id"] for r in semantic.semantic_search(rows, "m", q.tolist(), Scope("en"), 10, two_stage=True).collect()] == two
+        assert [i for _, i in ids(semantic.similar_to(df, "t", "001", "m", Scope("en"), 5))] == [w for w in want if w != "001"][:5]
+        fitted = ann.fit_cells(df.filter("entity_id <> 'short'"))
+        file = ann.write_cells(df, fitted, f"{tmp_path}/c{dims}")
+        assert file.count() == 303 and {r["entity_id"] for r in file.filter("cell = -1").collect()} == {"none", "short", "zero"}
+        assert 0 < fitted.probes <= len(fitted.centres)
+        hits = sum(len({f"{i:03d}" for i in np.argsort(-(v @ v[k]) / np.linalg.norm(v, axis=1), kind="stable")[:10]} & {r["entity_id"] for r in ann.cell_search(file, fitted, "m", v[k].tolist(), Scope("en"), 10).collect()}) for k in range(0, 300, 60))
+        assert hits >= 0.9 * 50
+    assert ann.cell_search(file, fitted, "m", [], Scope("en")).count() == 0
+    none = ann.fit_cells(df.filter("false"))
+    assert none.probes == 0 and ann.filed(df, none).filter("cell = -1").count() == 303
+
+
 @pytest.mark.parametrize("block", [1 << 20, 64])
 def test_search_all(spark, block):
     rng = np.random.default_rng(3)
