@@ -26,6 +26,11 @@ def over_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(f, schema)
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """The place of a column, whose name Spark takes without case."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place in the folder that all executors share."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,8 @@
 
 Normal form: lower case, each run of characters other than letters and digits
 one space. A benchmark item gives its windows of ``words`` words, or all its
-words where it has fewer (``least`` at least). All windows of all items are one
+words where it has fewer. An item of fewer than ``least`` words, such as a short
+answer, is too common inside a text and is looked for as a whole text. All patterns of all items are one
 automaton; every text is scanned once in normal form, matches that touch are
 joined, and their ends are mapped to the characters of the original text.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._spark import over_arrow, read
+from lodestar.llm._spark import column_at, over_arrow, read
 
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, start_char long, end_char long, n_words long"
@@ -26,36 +27,40 @@ SCHEMA = "doc_id long, item_id long, start_char long, end_char long, n_words lon
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``words``: words of a window. ``least``: items with fewer words are too common to look for. ``automaton_chars``: pattern characters in one automaton; a larger benchmark takes several passes."""
+    """``words``: words of a window. ``least``: items with fewer words must be the whole text. ``automaton_chars``: a bound on what is broadcast; only a benchmark of more pattern characters is cut, by item, and takes several passes that find the same."""
 
     words: int = 8
     least: int = 5
     automaton_chars: int = 50_000_000
 
 
-def windows(items: list[tuple[int | None, str | None]], params: LeakParams) -> Iterator[tuple[str, int, int, int]]:
-    """(normalised window, item, its first word, words of the window)."""
+def windows(items: list[tuple[int | None, str | None]], params: LeakParams) -> Iterator[tuple[str, int, int, int, bool]]:
+    """(normalised window, item, its first word, words of the window, whether it must be the whole text)."""
     for item, text in items:
-        if item is None or text is None:
+        words = WORD.findall(text.lower()) if text is not None else []
+        if item is None or not words:
             continue
-        words = WORD.findall(text.lower())
         n = min(params.words, len(words))
-        if n < min(params.least, params.words):
-            continue
         for k in range(len(words) - n + 1):
-            yield " ".join(words[k : k + n]), item, k, n
+            yield " ".join(words[k : k + n]), item, k, n, len(words) < min(params.least, params.words)
+
+
+def normal(text: str) -> str:
+    """The normal form that is scanned; line feeds mark the ends of the text."""
+    return f"\n {' '.join(WORD.findall(text.lower()))} \n"
 
 
-def build(patterns: list[tuple[str, int, int, int]]) -> ahocorasick.Automaton:
+def build(patterns: list[tuple[str, int, int, int, bool]]) -> ahocorasick.Automaton:
     """The automaton; a window that several items share knows them all."""
     found: dict[str, list[tuple[int, int]]] = {}
-    sizes: dict[str, int] = {}
-    for text, item, k, n in patterns:
-        found.setdefault(text, []).append((item, k))
-        sizes[text] = n
+    sizes: dict[str, tuple[int, int]] = {}
+    for text, item, k, n, whole in patterns:
+        key = f"\n {text} \n" if whole else f" {text} "
+        found.setdefault(key, []).append((item, k))
+        sizes[key] = len(text) + whole, n
     machine = ahocorasick.Automaton()
-    for text, owners in found.items():
-        machine.add_word(f" {text} ", (len(text), sizes[text], tuple(owners)))
+    for key, owners in found.items():
+        machine.add_word(key, (*sizes[key], tuple(owners)))
     machine.make_automaton()
     return machine
 
@@ -66,7 +71,7 @@ def leaks(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, int
     Windows of one item that follow each other both in the item and in the text are one stretch.
     """
     low = text.lower()
-    plain = f" {' '.join(WORD.findall(low))} "
+    plain = normal(text)
     hits = list(machine.iter(plain))
     if not hits:
         return []
@@ -106,7 +111,7 @@ def shards(spark: SparkSession, benchmark: DataFrame, params: LeakParams) -> lis
     parts = max(1, -(-amount // max(1, limit)))
     out = []
     for k in range(parts):
-        own = sizes.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else sizes
+        own = sizes.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else sizes
         out.append(spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()]))
     return out
 
@@ -114,10 +119,10 @@ def shards(spark: SparkSession, benchmark: DataFrame, params: LeakParams) -> lis
 def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """Every stretch of a document that repeats windows of a benchmark item: doc_id, item_id, start_char, end_char (code points of the original text, end excluded), n_words.
 
-    Null and empty texts, and items that are null, have no id or hold fewer than
-    ``least`` words, match nothing. Rows with a null doc_id are reported with
+    Null and empty texts, and items that are null, have no id or no word, match
+    nothing. Rows with a null doc_id are reported with
     it. Repeated documents are each reported, repeated items once. Extra columns
-    are left out.
+    are left out. Ids are whole numbers; others are cast to them.
     """
     out = None
     for items in shards(docs.sparkSession, benchmark, params):
@@ -133,20 +138,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start_char", "end_char", "n_words"])
 
-        part = over_arrow(docs.select("doc_id", "text"), scan, SCHEMA)
+        part = over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
-    """The rows of ``docs`` whose text repeats no window of any item, all columns kept; null texts stay."""
+    """The rows of ``docs`` whose text repeats no window of any item, all columns kept.
+
+    Null, empty and wordless texts stay, as do all rows where there is no item; repeated rows are each kept or dropped.
+    """
+    at = column_at(docs, "text")
     for items in shards(docs.sparkSession, benchmark, params):
 
         def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             machine = build(list(windows(items.value, params)))
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                keep = [not (t and len(machine)) or next(machine.iter(f" {' '.join(WORD.findall(t.lower()))} "), None) is None for t in texts]
+                texts = batch.column(at).to_pylist()
+                keep = [not (t and len(machine)) or next(machine.iter(normal(t)), None) is None for t in texts]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = over_arrow(docs, clean, docs.schema)
@@ -159,7 +168,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without benchmark passages."""
+    """Pipeline stage: the documents without benchmark passages; null and empty texts stay, an empty table stays empty, columns pass through."""
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -179,7 +188,7 @@ WITH cut AS (
   SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
 ), item_windows AS (
   SELECT item_id, k, m, array_to_string(words[k:k + m - 1], ' ') AS win
-  FROM (SELECT item_id, words, least({n}, len(words)) AS m, unnest(range(1, len(words) - least({n}, len(words)) + 2)) AS k FROM items WHERE len(words) >= {least})
+  FROM (SELECT item_id, words, least({n}, len(words)) AS m, unnest(range(1, len(words) - least({n}, len(words)) + 2)) AS k FROM items WHERE len(words) >= {min(least, n)})
 ), doc_windows AS (
   SELECT doc_id, k, m, array_to_string(words[k:k + m - 1], ' ') AS win
   FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS k FROM texts, (SELECT DISTINCT m FROM item_windows))
@@ -192,6 +201,9 @@ WITH cut AS (
 ), stretches AS (
   SELECT doc_id, item_id, min(k) AS a, max(k + m) - 1 AS b FROM runs GROUP BY doc_id, item_id, shift, run
 )
+SELECT t.doc_id, i.item_id, (t.ends[1] - length(t.words[1]))::BIGINT AS start_char, t.ends[len(t.ends)]::BIGINT AS end_char, len(t.words)::BIGINT AS n_words
+FROM texts t JOIN items i ON t.words = i.words WHERE len(i.words) BETWEEN 1 AND {min(least, n) - 1}
+UNION
 SELECT DISTINCT s.doc_id, s.item_id, (t.ends[s.a] - length(t.words[s.a]))::BIGINT AS start_char, t.ends[s.b]::BIGINT AS end_char, (s.b - s.a + 1)::BIGINT AS n_words
 FROM stretches s JOIN texts t USING (doc_id)
 """
