@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._spark import over_arrow, read
+from lodestar.llm._spark import over_arrow, read, scratch
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
@@ -114,7 +114,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     again_at, block_chars, copies and first_doc (the least doc_id of the rows
     with this length and fingerprint). A null text has null everywhere but
     doc_id; an empty one has fingerprint 0. Repeated rows count as copies of
-    each other; null ids are kept; other columns are left out.
+    each other; null ids are kept; other columns are left out. Ids are whole
+    numbers; others are cast to them.
     """
     kinds = [("n_chars", pa.int64()), ("fingerprint", pa.int64()), ("n_lines", pa.int64()), ("n_repeated", pa.int64()), ("first_at", pa.int64()), ("again_at", pa.int64()), ("block_chars", pa.int64())]
 
@@ -123,11 +124,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             rows = [(None,) * 7 if t is None else summary(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds))], ["doc_id", *(n for n, _ in kinds)])
 
-    own = over_arrow(docs.select("doc_id", "text"), hashed, "doc_id long, " + ", ".join(f"{n} long" for n, _ in kinds))
-    # Only the numbers are shuffled, never texts.
-    same = Window.partitionBy("n_chars", "fingerprint")
+    own = over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hashed, "doc_id long, " + ", ".join(f"{n} long" for n, _ in kinds))
+    # Only the numbers are shuffled, never texts; copies are counted in parts, and rows without a copy need no partner.
+    place = scratch(docs.sparkSession, "fingerprints")
+    own.write.parquet(place)
+    own = docs.sparkSession.read.parquet(place)
+    key = ["n_chars", "fingerprint"]
+    several = own.filter(F.col("fingerprint").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
     has = F.col("fingerprint").isNotNull()
-    return own.withColumn("copies", F.when(has, F.count(F.lit(1)).over(same))).withColumn("first_doc", F.when(has, F.min("doc_id").over(same)))
+    both = own.join(several, key, "left")
+    return both.select(*own.columns, F.when(has, F.coalesce("copies", F.lit(1))).alias("copies"), F.when(has, F.when(F.col("copies").isNotNull(), F.col("first_doc")).otherwise(F.col("doc_id"))).alias("first_doc"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
