@@ -77,12 +77,26 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the offsets counted in them."""
+    if not len(data) or data.max() < 128:
+        return data, offsets
+    first = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=first[1:])
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), first[offsets]
+
+
+def blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes or code points are ASCII white space."""
+    return SPACE[data] if data.dtype == np.uint8 else (data <= 32) & SPACE[np.minimum(data, 255)]
+
+
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, byte after the last, first word of each document and the count of all) of the words."""
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~blank(data)
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     first = solid.copy()

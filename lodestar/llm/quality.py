@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors, one for each hashed word and each
-hashed character n-gram (bytes of the word, its ends marked); a softmax layer
+hashed character n-gram (of code points, the word's ends marked); a softmax layer
 gives the class. Vectors and layer are trained together by numpy stochastic
 gradient descent on a bounded sample of labelled documents. Because averaging
 and the last layer are both linear, scoring adds one number per feature: the
-layer is folded into the table of vectors, and whole texts pass through as byte
+layer is folded into the table of vectors, and whole texts pass through as
 arrays.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import _text as X
-from lodestar.llm._spark import over_arrow, read, sampled
+from lodestar.llm._spark import column_at, over_arrow, read, sampled
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,8 @@ class QualityModel:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, params: QualityParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of every feature, first feature of each document and the count of all), one pair for words and each n-gram size."""
+    """Of UTF-8 bytes: (bucket of every feature, first feature of each document and the count of all), one pair for words and each n-gram size."""
+    data, offsets = X.characters(data, offsets)
     starts, ends, firsts = X.spans(data, offsets)
     h = X.prefix(data)
     mask = X.U(params.buckets - 1)
@@ -66,11 +67,11 @@ def features(data: np.ndarray, offsets: np.ndarray, params: QualityParams) -> It
     yield np.full(len(again), params.buckets - 1), np.searchsorted(again, firsts)
     yield np.full(params.ends * (len(offsets) - 1), params.buckets - 2), params.ends * np.arange(len(offsets))
     # A word's n-grams may take in the white space, or the end of the text, on either side of it as a mark.
-    padded = np.full(len(data) + len(offsets), 32, np.uint8)
+    padded = np.full(len(data) + len(offsets), 32, data.dtype)
     shift = np.arange(len(offsets) - 1)
     place = np.arange(len(data)) + np.repeat(shift, np.diff(offsets)) + 1
     padded[place] = data
-    padded[X.SPACE[padded]] = 32
+    padded[X.blank(padded)] = 32
     space = padded == 32
     edges = offsets + np.arange(len(offsets))
     hp = X.prefix(padded)
@@ -124,9 +125,9 @@ def train(texts: pa.Array, labels: np.ndarray, params: QualityParams = QualityPa
             vectors[ids] -= (rate * len(ids) * part.clip(0, 4 / len(ids)))[:, None] * back[None, :]
     fold = vectors @ (layer[:, 1] - layer[:, 0])
     score = np.array([fold[ids] @ counts / max(1, counts.sum()) for ids, counts in bags]) if bags else np.zeros(0)
-    # Held-out rows alone choose the threshold; without any, the classes meet at logit 0.
+    # Held-out rows alone choose the threshold; without any of one class, the classes meet at logit 0, and labels of one class drop nothing.
     good, bad = score[held & (labels == 1)], score[held & (labels == 0)]
-    threshold = 0.0
+    threshold = 0.0 if (share > 0).all() else -np.inf
     if len(good) and len(bad):
         # A kept good text counts as ``keep_good`` rejected bad ones; labels may be wrong, so no quantile of one class decides.
         both = np.unique(np.concatenate([good, bad]))
@@ -142,7 +143,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
     """Trains on at most ``params.train_rows`` rows of ``labels`` (doc_id, quality 0/1) that meet a text in ``docs``.
 
     Rows with a null key, label or text aren't used; of repeated labels all
-    count. No usable row gives a model that scores 0 and keeps every text.
+    count. No usable row, or usable rows of one class alone, give a model that keeps every text
+    (the first with score 0).
     """
     chosen = sampled(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("_quality")), "doc_id", params.train_rows)
     rows = (
@@ -177,10 +179,11 @@ def score_quality(docs: DataFrame, model: QualityModel, keep_columns: bool = Fal
     Returns doc_id, score (logit of the good class) and keep; with
     ``keep_columns`` the columns of ``docs`` of the rows that are kept. A null or
     blank text has a null score and isn't kept: there is nothing to learn from
-    it. Null ids, repeated rows and other columns pass through.
+    it. Null ids, repeated rows and other columns pass through. Without
+    ``keep_columns`` ids are whole numbers; others are cast to them.
     """
     fold, params, threshold = model.folded(), model.params, model.threshold
-    known = model.held_out == model.held_out or bool(np.any(fold))
+    known = bool(np.any(fold))
 
     def decide(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s = scores(text, fold, params)
@@ -188,9 +191,11 @@ def score_quality(docs: DataFrame, model: QualityModel, keep_columns: bool = Fal
 
     if keep_columns:
 
+        at = column_at(docs, "text")
+
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, keep = decide(batch.column(batch.schema.get_field_index("text")))
+                _, keep = decide(batch.column(at))
                 yield batch.filter(pa.array(keep))
 
         return over_arrow(docs, chosen, docs.schema)
@@ -200,7 +205,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep_columns: bool = Fal
             s, keep = decide(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64(), mask=np.isnan(s)), pa.array(keep)], ["doc_id", "score", "keep"])
 
-    return over_arrow(docs.select("doc_id", "text"), scored, "doc_id long, score double, keep boolean")
+    return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double, keep boolean")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,5 +215,5 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the classifier keeps."""
+    """Pipeline stage: the documents that the classifier keeps, as ``score_quality`` says; an empty table stays empty."""
     return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), keep_columns=True)

@@ -1,6 +1,8 @@
 """Classifiers, URL filter and chat formatting: held-out accuracy and naive versions."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +41,82 @@ def test_quality(spark):
         data = np.frombuffer(own[i][0].encode(), np.uint8)
         ids = np.concatenate([f for f, _ in quality.features(data, np.array([0, len(data)]), model.params)])
         assert got[i][0]["score"] == pytest.approx(fold[ids].mean())
-        grams = {own[i][0].encode()[k : k + 3] for k in range(len(data) - 2)}
-        assert len(grams) > 0
     kept = quality.score_quality(docs, model, keep_columns=True)
     assert kept.columns == docs.columns and kept.count() == sum(r["keep"] for rs in got.values() for r in rs)
+    for only in (0, 1):
+        one = quality.fit_quality(docs, labels.filter(f"quality = {only}"))
+        assert quality.score_quality(docs, one).filter("not keep").count() == 3
     none = quality.fit_quality(docs, labels.filter("false"))
     assert quality.score_quality(docs, none).filter("keep").count() == docs.filter("trim(text) <> '' and doc_id is null or doc_id < 1000 or doc_id > 1002").count()
     assert quality.score_quality(docs.filter("false"), model).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def naive_mix(x, salt=0):
+    x = (x + 0x9E3779B97F4A7C15 * (salt + 1)) & M64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def naive_hash(s):
+    return naive_mix(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(s)) & M64)
+
+
+def naive_bag(text, params):
+    """The buckets of a text, one after the other, by string methods."""
+    mask, words = params.buckets - 1, re.findall(r"[^\t\n\x0b\f\r ]+", text)
+    out = [naive_hash(w) & mask for w in words] + [mask for a, b in zip(words, words[1:], strict=False) if a == b] + [mask - 1] * params.ends
+    padded = " " + re.sub(r"[\t\n\x0b\f\r ]", " ", text) + " "
+    for n in params.grams:
+        grams = [padded[k : k + n] for k in range(len(padded) - n + 1)]
+        out += [naive_mix(naive_hash(g), n) & mask for g in grams if " " not in g[1:-1]]
+    return out
+
+
+def test_quality_features():
+    """Words and n-grams of code points against string methods, also where texts share a block."""
+    params = quality.QualityParams()
+    texts = ["a bb bb  ccc", "", "naïve café 東京タワー", " \n", "ß", "x\ty", "\U0001f600\U0001f600 ü", "plain only"]
+    for own in (texts, ["plain only", "more plain words"]):
+        data, offsets, _ = X.strings(pa.array(own))
+        found = list(quality.features(data, offsets, params))
+        for d, t in enumerate(own):
+            assert sorted(np.concatenate([ids[f[d] : f[d + 1]] for ids, f in found]).tolist()) == sorted(naive_bag(t, params)), t
+
+
+def test_quality_training_step_by_step():
+    """The vectors and the layer after training, against plain loops over features."""
+    params = quality.QualityParams(buckets=64, dim=3, epochs=2, grams=(3,), ends=1)
+    rng = random.Random(2)
+    own = texts_of(rng, 12)
+    labels = np.array([g for _, g in own])
+    model = quality.train(pa.array([t for t, _ in own]), labels, params)
+    rng = np.random.default_rng(params.seed)
+    vectors = rng.uniform(-1, 1, (64, 3)) / 3
+    layer = np.zeros((3, 2))
+    fit = [d for d in range(12) if d % 5]
+    share = [sum(labels[d] == y for d in fit) / len(fit) for y in (0, 1)]
+    done = 0
+    for _ in range(2):
+        for d in rng.permutation(fit):
+            rate, y = params.rate * (1 - done / (2 * len(fit))), labels[d]
+            done += 1
+            bag = naive_bag(own[d][0], params)
+            mean = sum(vectors[i] for i in bag) / len(bag)
+            logits = [sum(mean[k] * layer[k][c] for k in range(3)) for c in (0, 1)]
+            p = [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+            back = [0.5 / share[y] * (p[c] - (c == y)) for c in (0, 1)]
+            step = {i: rate * len(set(bag)) * min(bag.count(i) / len(bag), 4 / len(set(bag))) * (layer[:, 0] * back[0] + layer[:, 1] * back[1]) for i in set(bag)}
+            for c in (0, 1):
+                layer[:, c] -= rate * mean * back[c]
+            for i, x in step.items():
+                vectors[i] -= x
+    assert np.allclose(model.layer, layer, atol=1e-4) and np.allclose(model.vectors, vectors, atol=1e-4)
+
+
 def naive_pool(words, model):
     """Each filter over each window of words, one after the other."""
     ids, firsts = toxicity.tokens(*X.strings(pa.array([" ".join(words)]))[:2], model.params)
@@ -84,12 +153,62 @@ def test_toxicity(spark):
         data, offsets, _ = X.strings(pa.array(["x y z", " ".join(words), ""]))
         ids, firsts = toxicity.tokens(data, offsets, model.params)
         assert np.allclose(toxicity.pooled(ids, firsts, model, tables)[1], naive_pool(words, model), atol=1e-4)
+    # A language with held-out rows of one class takes the threshold of all, and so does a null one among the labels.
+    half = toxicity.train(pa.array([t for t, _, _ in own[:600]]), ["en" if t or i % 3 else None if i % 2 else "fr" for i, (_, t, _) in enumerate(own[:600])], np.array([t for _, t, _ in own[:600]]))
+    assert set(half.thresholds) == {"en"} and 0 < half.default < 1
     none = toxicity.fit_toxicity(docs, labels.filter("toxic = 0"))
     assert toxicity.score_toxicity(docs, none).filter("toxic").count() == 0 and toxicity.score_toxicity(docs.filter("false"), model).count() == 0
 
 
+def naive_trees(x, y, params):
+    """Boosted trees by loops over rows, features and limits."""
+    limits = [sorted({float(np.quantile(x[:, k], q)) for q in np.linspace(0, 1, params.bins + 1)[1:-1]}) for k in range(x.shape[1])]
+    weight = [0.5 / y.mean() if v else 0.5 / (1 - y.mean()) for v in y]
+    score, trees = [0.0] * len(y), []
+    for _ in range(params.trees):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        g = [w * (a - b) for w, a, b in zip(weight, p, y, strict=True)]
+        h = [w * a * (1 - a) for w, a in zip(weight, p, strict=True)]
+        at, inner = [0] * len(y), {}
+        for level in range(params.depth):
+            for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                rows = [i for i in range(len(y)) if at[i] == node]
+                worth = lambda r: sum(g[i] for i in r) ** 2 / (sum(h[i] for i in r) + params.smooth)
+                best = (1e-6, 0, math.inf)
+                for k, own in enumerate(limits):
+                    for limit in own:
+                        left, right = [i for i in rows if x[i, k] <= limit], [i for i in rows if x[i, k] > limit]
+                        gain = worth(left) + worth(right) - worth(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, k, limit)
+                inner[node] = best[1:]
+                for i in rows:
+                    at[i] = 2 * node + 1 + (x[i, best[1]] > best[2])
+        values = {}
+        for leaf in range(2**params.depth - 1, 2 ** (params.depth + 1) - 1):
+            rows = [i for i in range(len(y)) if at[i] == leaf]
+            values[leaf] = -params.rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + params.smooth)
+            for i in rows:
+                score[i] += values[leaf]
+        trees.append((inner, values))
+    return score, trees
+
+
+def test_trees_against_loops():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)).round(1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(float)
+    params = urlfilter.UrlParams(trees=3, depth=2, bins=6)
+    model = urlfilter.grow(x, y, params)
+    score, trees = naive_trees(x, y, params)
+    assert np.allclose(model.logits(x), score)
+    for k, (inner, values) in enumerate(trees):
+        assert [(int(f), float(t)) for f, t in zip(model.feature[k], model.limit[k], strict=True)] == [inner[n] for n in range(3)]
+        assert np.allclose(model.leaf[k], [values[n] for n in range(3, 7)])
+
+
 def naive_features(url):
-    """The first ten features of a URL, by string methods."""
+    """The features of a URL's own text, by string methods."""
     rest = url.split("://", 1)[1] if "://" in url else url
     host = rest
     for c in "/?#:":
@@ -103,7 +222,7 @@ def naive_features(url):
         p = np.array([s.count(c) for c in set(s)]) / max(1, len(s))
         return float(-(p * np.log2(p)).sum()) if len(s) else 0.0
 
-    return [len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c.isdigit() for c in url) / max(1, len(url)), host.count("-"), entropy(host), entropy(url), query.count("="), float("#" in rest), float(url.startswith("https://"))]
+    return [len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c.isdigit() for c in url) / max(1, len(url)), host.count("-"), entropy(host), entropy(url), query.count("="), float("#" in rest), float(url.startswith("https://")), sum("A" <= c <= "Z" for c in url) / max(1, len(url)), sum(not c.isalnum() for c in url) / max(1, len(url))]
 
 
 def test_url_filter(spark):
@@ -134,7 +253,7 @@ def test_url_filter(spark):
     x = urlfilter.lexical(pa.array(known), np.ones(len(known)), np.ones(len(known)))
     for row, e in zip(x, known, strict=True):
         if e.isascii() and e not in ("http://",):
-            assert np.allclose(row[:12], naive_features(e)), e
+            assert np.allclose(row[:14], naive_features(e)), e
     untrained = urlfilter.fit_urls(small.filter("label = 1"))
     assert urlfilter.score_urls(named, untrained).filter("blocked or score <> 0.5").count() == 0
     assert urlfilter.score_urls(named.filter("false"), model).count() == 0
