@@ -167,11 +167,11 @@ def encoder(ranks: dict[bytes, int], words: int, name: str = ""):
 
 
 def write_ids(docs: DataFrame, place: str, params: BinaryParams = BinaryParams()) -> DataFrame:
-    """Writes the shards, the index and a manifest under ``place``; returns a row per key.
+    """Writes the shards, the index and a manifest under ``place`` and, once all are there, returns a row per key.
 
     The rows are doc_id, bucket, slot, fingerprint, shard, start (in ids) and
     n_tokens. A null text has no ids but a key; an empty one has 0 ids. Rows
-    with a null doc_id are in a shard but can't be looked up, so they have no row.
+    with a null doc_id are in a shard but can't be looked up, so they have no row. Ids are whole numbers; others are cast to them.
     Of rows with the same doc_id the first by shard and offset is indexed. A task
     that runs again writes a shard of another name, so an index never points to
     a half-written file. Extra columns are left out.
@@ -198,8 +198,9 @@ def write_ids(docs: DataFrame, place: str, params: BinaryParams = BinaryParams()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(batch)), pa.array(starts), pa.array(sizes)], ["doc_id", "shard", "start", "n_tokens"])
 
     # Written once: the index must not be built from a second run of the tasks.
-    over_arrow(docs.select("doc_id", "text"), payload, "doc_id long, shard string, start long, n_tokens long").write.mode("overwrite").parquet(f"{place}/places")
-    places = spark.read.parquet(f"{place}/places").filter(F.col("doc_id").isNotNull())
+    over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), payload, "doc_id long, shard string, start long, n_tokens long").write.mode("overwrite").parquet(f"{place}/places")
+    # An id that many rows have is one key before anything is shuffled.
+    places = spark.read.parquet(f"{place}/places").filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("shard", "start", "n_tokens")).alias("p")).select("doc_id", "p.*")
     buckets = max(1, -(-places.count() // params.keys))
     with files.open_output_stream(f"{root}/manifest.json", compression=None) as f:
         f.write(json.dumps({"buckets": buckets, "bytes": width}).encode())
@@ -209,9 +210,7 @@ def write_ids(docs: DataFrame, place: str, params: BinaryParams = BinaryParams()
             yield batch.append_column("bucket", pa.array(bucket_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), buckets)))
 
     def index(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("shard", "ascending"), ("start", "ascending")])
-        ids = table["doc_id"].to_numpy()
-        table = table.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)))
+        table = table.sort_by("doc_id")
         keys = table["doc_id"].to_numpy().astype(np.int64).view(np.uint64)
         names = table["shard"].combine_chunks().dictionary_encode()
         bucket = table["bucket"][0].as_py()
@@ -224,7 +223,9 @@ def write_ids(docs: DataFrame, place: str, params: BinaryParams = BinaryParams()
         return pa.table({"doc_id": table["doc_id"], "bucket": table["bucket"], "slot": slots, "fingerprint": fingerprint(keys).astype(np.int64), "shard": table["shard"], "start": table["start"], "n_tokens": table["n_tokens"]})
 
     keyed = places.mapInArrow(numbered, "doc_id long, shard string, start long, n_tokens long, bucket long")
-    return keyed.groupBy("bucket").applyInArrow(index, "doc_id long, bucket long, slot long, fingerprint long, shard string, start long, n_tokens long")
+    # Acted on here, once: the rows that come back are those of the index that lies there.
+    keyed.groupBy("bucket").applyInArrow(index, "doc_id long, bucket long, slot long, fingerprint long, shard string, start long, n_tokens long").write.mode("overwrite").parquet(f"{place}/rows")
+    return spark.read.parquet(f"{place}/rows")
 
 
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
