@@ -196,8 +196,13 @@ def train(texts: pa.Array, langs: list[str | None], labels: np.ndarray, params:
     p = np.zeros(n)
     for d in out:
         p[d] = probability(ids[firsts[d] : firsts[d + 1]], np.array([0, firsts[d + 1] - firsts[d]]), model, tables)[0]
-    names = np.array([x or "" for x in langs], object)
-    return ToxicityModel(params, vectors, filters, bias, layer, float(offset), {str(x): cut(p[out[names[out] == x]], labels[out[names[out] == x]]) for x in set(names[out])}, cut(p[out], labels[out]), True)
+    default, own = cut(p[out], labels[out]), {}
+    for name in sorted({langs[d] for d in out if langs[d]}):
+        mine = np.array([d for d in out if langs[d] == name])
+        # A language without held-out documents of both kinds takes the threshold of all.
+        if len(np.unique(labels[mine])) == 2:
+            own[name] = cut(p[mine], labels[mine])
+    return ToxicityModel(params, vectors, filters, bias, layer, float(offset), own, default, True)
 
 
 def cut(p: np.ndarray, labels: np.ndarray) -> float:
@@ -236,8 +241,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, lang, score (probability of toxicity) and toxic of every row, by its whole text.
 
     A null or wordless text has score 0 and isn't toxic; a null or unknown
-    language takes the threshold of all languages together. Null ids and
-    repeated rows pass through; other columns are left out.
+    language, and one whose held-out rows were all of one class, takes the threshold of all languages together. Null ids and
+    repeated rows pass through; other columns are left out. Ids are whole numbers; others are cast to them.
     """
     tables, params = model.tables(), model.params
 
@@ -248,11 +253,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for a, b in X.blocks(offsets):
                 ids, firsts = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params)
                 p[a:b] = np.where(np.diff(firsts) > 0, probability(ids, firsts, model, tables), 0)
-            limits = np.array([model.thresholds.get(x or "", model.default) for x in batch.column(1).to_pylist()])
+            limits = np.array([model.thresholds.get(x, model.default) for x in batch.column(1).to_pylist()])
             toxic = (p >= limits) & (p > 0) & model.trained
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array(toxic)], ["doc_id", "lang", "score", "toxic"])
 
-    return over_arrow(docs.select("doc_id", "lang", "text"), scored, "doc_id long, lang string, score double, toxic boolean")
+    return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), scored, "doc_id long, lang string, score double, toxic boolean")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
