@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,7 +25,21 @@ def over_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     # Else a union of equally partitioned inputs fails where adaptive execution coalesces one of them alone.
     df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again by later stages, beside each other."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def column_at(df: DataFrame, name: str) -> int:

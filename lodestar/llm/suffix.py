@@ -1,6 +1,7 @@
 """Suffix-array dedup: passages of ``words`` words or more that repeat anywhere in the corpus.
 
-Words are runs of bytes other than white space, compared exactly. Each window
+Words are runs of bytes other than white space, known by 31 bits of their hash: two unlike windows of 50
+words are taken as equal only if all their words' hashes are. Each window
 of ``words`` words belongs to the least hash among its ``gram``-word stretches,
 so equal windows, wherever they lie, go to the same shard; stretches that occur
 once in the corpus can't be in a repeated window and are left behind (an exact
@@ -8,15 +9,19 @@ filter). A shard's windows, with their surrounding words, are one long string
 whose suffixes are sorted by external induction (``_induce``); neighbours with a common prefix of ``words`` or
 more are one repeated window. Its first occurrence stays, the others are marked.
 
-Equal texts are scanned once; the row of the least doc_id stands for them.
+Equal texts, known by 128 bits of hash, are scanned once; the row of the least doc_id stands for them.
+
+A shard that outgrows ``shard_words``, as where one stretch of words is in very many
+documents, is sorted in files: only its runs' numbers and a range of its suffixes are in memory.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +29,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import _text as X
-from lodestar.llm._induce import order_of
-from lodestar.llm._spark import by_all, over_arrow, read, spare
-from lodestar.session import shared_dir
+from lodestar.llm._induce import Scratch, order_of, steps
+from lodestar.llm._spark import by_all, column_at, delete, over_arrow, read, spare, text_key
+from lodestar.llm._spark import scratch as scratch_place
 
 LAST = np.iinfo(np.int64).max
+#: Anchors, of 8 bytes each, that are sent to all executors; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """``words``: shortest repeat. ``gram``: words of the stretches that route a window. ``shard_words``: words of a shard, about. ``queue``: entries of a priority queue in memory."""
+    """``words``: shortest repeat. ``gram``: words of the stretches that route a window. ``shard_words``: words of a shard, about. ``queue``: entries of a priority queue in memory. ``memory``: bytes of an array in memory; longer ones are files."""
 
     words: int = 50
     gram: int = 14
     shard_words: int = 1_500_000
-    queue: int = 4_000_000
+    queue: int = 500_000
+    memory: int = 16 << 20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,15 +71,16 @@ def anchored(h: np.ndarray, firsts: np.ndarray, params: SuffixParams) -> tuple[n
         return none, none, none, none.astype(np.uint64)
     sums = word_prefix(h)
     grams = X.span_hash(sums, np.arange(len(h) - k + 1), np.arange(k, len(h) + 1))
-    # Least of each w stretches, the leftmost of equals: high bits of the hash above the place.
-    low = (grams & ~X.U((1 << 26) - 1)) | np.arange(len(grams), dtype=np.uint64)
+    # Least of each w stretches, the leftmost of equals: high bits of the hash above the place, which is told from the window's modulo 2**26.
+    low = (grams & ~X.U((1 << 26) - 1)) | (np.arange(len(grams), dtype=np.uint64) & X.U((1 << 26) - 1))
     step = 1
     while 2 * step <= w:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
     if w > step:
         low = np.minimum(low[: len(low) - (w - step)], low[w - step :])
-    place = (low & X.U((1 << 26) - 1)).astype(np.int64)
+    window = np.arange(len(low))
+    place = window + ((low & X.U((1 << 26) - 1)).astype(np.int64) - window) % (1 << 26)
     # Windows that lie in one document.
     doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[: len(place)]
     at = np.flatnonzero(np.arange(len(place)) + params.words <= firsts[doc + 1])
@@ -92,29 +101,30 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, params: SuffixParams) -> DataFrame:
-    """(anchor, text_hash, a, b) of every run of windows of every row."""
+    """(anchor, t0, t1, a, b) of every run of windows of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets, _ = X.strings(batch.column(1))
-            hashes = batch.column(0).to_numpy()
+            data, offsets, _ = X.strings(batch.column(2))
+            t0, t1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in X.blocks(offsets):
                 h, _, _, firsts = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 d, a, b, anchor = anchored(h, firsts, params)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(hashes[i + d]), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["anchor", "text_hash", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(t0[i + d]), pa.array(t1[i + d]), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["anchor", "t0", "t1", "a", "b"])
 
-    rows = docs.filter(F.length("text") >= 2 * params.words - 1).select(F.xxhash64("text").alias("text_hash"), "text")
-    return over_arrow(rows, run, "anchor long, text_hash long, a int, b int")
+    key = text_key("text")
+    rows = docs.filter(F.length("text") >= 2 * params.words - 1).select(key[0].alias("t0"), key[1].alias("t1"), "text")
+    return over_arrow(rows, run, "anchor long, t0 long, t1 long, a int, b int")
 
 
 def cut_windows(rows: DataFrame, params: SuffixParams, shards: int) -> DataFrame:
-    """(shard, first_id, text_hash, tokens, starts): the words of every kept run; equal runs of a text once, with all their places."""
+    """(shard, first_id, t0, t1, tokens, starts): the words of every kept run; equal runs of a text once, with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = X.strings(batch.column(0))
-            text_hash, first_id = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            lists = batch.column(3)
+            t0, t1, first_id = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            lists = batch.column(4)
             edges, values = lists.offsets.to_numpy().astype(np.int64), lists.values
             for i, j in X.blocks(offsets):
                 h, _, _, firsts = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -131,110 +141,147 @@ def cut_windows(rows: DataFrame, params: SuffixParams, shards: int) -> DataFrame
                 body = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.array(np.concatenate([[0], np.cumsum(4 * size[one])]), pa.int32()).buffers()[1], pa.py_buffer(tokens.tobytes())])
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(a[order], pa.int32()))
                 shard = (X.mix(anchor[one].view(np.uint64), 17) % X.U(shards)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(first_id[i + d[one]]), pa.array(text_hash[i + d[one]]), body, places], ["shard", "first_id", "text_hash", "tokens", "starts"])
+                at = i + d[one]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(first_id[at]), pa.array(t0[at]), pa.array(t1[at]), body, places], ["shard", "first_id", "t0", "t1", "tokens", "starts"])
 
-    return over_arrow(rows, run, "shard int, first_id long, text_hash long, tokens binary, starts array<int>")
+    return over_arrow(rows, run, "shard int, first_id long, t0 long, t1 long, tokens binary, starts array<int>")
 
 
-def repeats_of(tokens: np.ndarray, sizes: np.ndarray, first_id: np.ndarray, text_hash: np.ndarray, starts: np.ndarray, counts: np.ndarray, params: SuffixParams, place: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's runs: (text_hash, first_id, keeper's id, first word, word after the last) of the windows to be marked, joined where they follow each other."""
-    none = np.zeros(0, np.int64)
+def repeats_of(tokens: np.ndarray, sizes: np.ndarray, first_id: np.ndarray, text: np.ndarray, starts: np.ndarray, counts: np.ndarray, params: SuffixParams, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a shard's runs: (run, keeper's id, first word, word after the last) of the windows to be marked, joined where they follow each other, in parts.
+
+    A run has ``sizes`` tokens of the text numbered ``text``, at the words ``starts``, ``counts`` of them. Texts are in the order of their hashes.
+    """
     if len(sizes) == 0:
-        return none, none, none, none, none
+        return
     # Each run ends with a separator of its own, greater than all words.
     ends = np.cumsum(sizes)
-    t = np.empty(len(tokens) + len(sizes), np.int64)
-    t[np.arange(len(tokens)) + np.repeat(np.arange(len(sizes)), sizes)] = tokens
-    t[ends + np.arange(len(sizes))] = (1 << 32) + np.arange(len(sizes))
-    order, lcp = order_of(t, place, params.queue)
-    group = np.cumsum(lcp < params.words)
-    member = np.zeros(len(order), bool)
-    member[1:] = lcp[1:] >= params.words
-    member[:-1] |= member[1:]
-    at, group = order[member], group[member]
-    # A run whose words lie in several places of its text stands for all of them; then it repeats itself.
-    alone = np.zeros(len(t), bool)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     base = ends - sizes + np.arange(len(sizes))
-    many = counts > 1
-    if many.any():
-        alone[ragged(base[many], sizes[many] - params.words + 1)] = True
-        alone[at] = False
-        extra = np.flatnonzero(alone)
-        at = np.concatenate([at, extra])
-        group = np.concatenate([group, (group.max() if len(group) else 0) + 1 + np.arange(len(extra))])
-    if len(at) == 0:
-        return none, none, none, none, none
-    run = owner[at]
-    shift = at - base[run]
+    t = scratch.array(int(ends[-1]) + len(sizes), np.int64)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1, max(64, scratch.memory // 32)), "left"))
+    for i, j in zip(cuts, np.append(cuts[1:], len(sizes)), strict=True):
+        if i == j:
+            continue
+        own = np.asarray(tokens[ends[i] - sizes[i] : ends[j - 1]], np.int64)
+        part = np.empty(len(own) + j - i, np.int64)
+        part[np.arange(len(own)) + np.repeat(np.arange(j - i), sizes[i:j])] = own
+        part[ends[i:j] - ends[i] + sizes[i] + np.arange(j - i)] = (1 << 32) + np.arange(i, j)
+        t[base[i] : base[i] + len(part)] = part
+    order, lcp = order_of(t, scratch, params.words)
     firsts = np.cumsum(counts) - counts
-    n = counts[run]
-    word = starts[ragged(firsts[run], n)] + np.repeat(shift, n)
-    run, group = np.repeat(run, n), np.repeat(group, n)
-    order = np.lexsort((word, text_hash[run], first_id[run], group))
-    run, group, word = run[order], group[order], word[order]
-    head = np.concatenate([[True], group[1:] != group[:-1]])
-    # The same window may have come twice, from rows that were given twice.
-    twice = np.zeros(len(run), bool)
-    twice[1:] = ~head[1:] & (word[1:] == word[:-1]) & (text_hash[run[1:]] == text_hash[run[:-1]])
-    keeper = first_id[run[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]]
-    mark = np.flatnonzero(~head & ~twice)
-    run, word, keeper = run[mark], word[mark], keeper[mark]
-    order = np.lexsort((word, keeper, text_hash[run]))
-    run, word, keeper = run[order], word[order], keeper[order]
-    texts = text_hash[run]
-    new = np.ones(len(run), bool)
-    new[1:] = (texts[1:] != texts[:-1]) | (keeper[1:] != keeper[:-1]) | (word[1:] > word[:-1] + 1)
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(run)) - 1 if len(run) else a
-    return texts[a], first_id[run[a]], keeper[a], word[a], word[b] + params.words
+    seen = scratch.array(len(t), bool) if (counts > 1).any() else None
+
+    def marks(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whole groups of places: all but each group's first window are marked."""
+        run = np.searchsorted(base, at, "right") - 1
+        n = counts[run]
+        word = starts[ragged(firsts[run], n)] + np.repeat(at - base[run], n)
+        run, group = np.repeat(run, n), np.repeat(group, n)
+        order = np.lexsort((word, text[run], first_id[run], group))
+        run, group, word = run[order], group[order], word[order]
+        head = np.concatenate([[True], group[1:] != group[:-1]])
+        # The same window may have come twice, from rows that were given twice.
+        twice = np.zeros(len(run), bool)
+        twice[1:] = ~head[1:] & (word[1:] == word[:-1]) & (text[run[1:]] == text[run[:-1]])
+        keeper = first_id[run[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]]
+        mark = np.flatnonzero(~head & ~twice)
+        run, word, keeper = run[mark], word[mark], keeper[mark]
+        order = np.lexsort((word, keeper, text[run]))
+        run, word, keeper = run[order], word[order], keeper[order]
+        new = np.ones(len(run), bool)
+        new[1:] = (text[run[1:]] != text[run[:-1]]) | (keeper[1:] != keeper[:-1]) | (word[1:] > word[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(run)) - 1 if len(run) else a
+        return run[a], keeper[a], word[a], word[b] + params.words
+
+    held: list[np.ndarray] = []
+    for a, b in steps(len(t), scratch):
+        near = np.append(lcp[a : b + 1], np.zeros(int(b == len(t)), lcp.dtype)) >= params.words
+        inside = np.flatnonzero(near[:-1] | near[1:])
+        if len(inside):
+            # A place that isn't near the one before it begins a group.
+            held.append(np.stack([order[a:b][inside], ~near[inside]], 1))
+            if seen is not None:
+                seen[held[-1][:, 0]] = True
+        if held and (b == len(t) or sum(map(len, held)) >= max(64, scratch.memory // 64)):
+            rows = np.concatenate(held)
+            heads = np.flatnonzero(rows[:, 1])
+            # The last group may go on in the next part.
+            done = len(rows) if b == len(t) else int(heads[-1])
+            if done:
+                yield marks(rows[:done, 0], np.cumsum(rows[:done, 1]))
+            held = [rows[done:]] if done < len(rows) else []
+    # A run whose words lie in several places of its text stands for all of them; then it repeats itself.
+    many = np.flatnonzero(counts > 1)
+    for k in range(0, len(many), 4096):
+        own = many[k : k + 4096]
+        at = ragged(base[own], sizes[own] - params.words + 1)
+        at = at[~seen[at]]
+        if len(at):
+            yield marks(at, np.arange(len(at)))
 
 
 def sort_shards(windows: DataFrame, params: SuffixParams, shards: int, place: str) -> DataFrame:
-    """Marked stretches (text_hash, first_id, keeper, a, b) of all shards; a partition's shards are sorted as one."""
-    local = place.removeprefix("file://") if place.startswith(("file:", "/")) else None
+    """Marked stretches (t0, t1, first_id, keeper, a, b) of all shards; a partition's shards are sorted as one."""
+    # Files of a sort are a task's own, like Spark's spills: in the shared folder if it is a plain one, else where Spark itself spills.
+    local = urlparse(place).path if urlparse(place).scheme in ("", "file") else None
+    spills = windows.sparkSession.conf.get("spark.local.dir", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        del parts
-        bodies = table["tokens"].combine_chunks()
-        bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-        edges = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
-        tokens = np.frombuffer(bodies.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.uint32)
-        lists = table["starts"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        counts = np.diff(lists.offsets.to_numpy().astype(np.int64))
-        if local:
-            os.makedirs(local, exist_ok=True)
-        found = repeats_of(tokens, np.diff(edges) // 4, table["first_id"].to_numpy(), table["text_hash"].to_numpy(), lists.flatten().to_numpy().astype(np.int64), counts, params, local)
-        for k in range(0, len(found[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in found], ["text_hash", "first_id", "keeper", "a", "b"])
-
-    return over_arrow(windows.repartition(shards, "shard"), run, "text_hash long, first_id long, keeper long, a long, b long")
+        folder = local or (os.environ.get("SPARK_LOCAL_DIRS") or spills or tempfile.gettempdir()).split(",")[0]
+        os.makedirs(folder, exist_ok=True)
+        scratch = Scratch(folder, params.memory, params.queue)
+        numbers: list[list[np.ndarray]] = [[] for _ in range(6)]
+
+        def bodies() -> Iterator[np.ndarray]:
+            for batch in batches:
+                body, lists = batch.column(4), batch.column(5)
+                edges = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+                for k, x in enumerate((np.diff(edges) // 4, *(batch.column(c).to_numpy() for c in (1, 2, 3)), lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy().astype(np.int64)))):
+                    numbers[k].append(x)
+                yield np.frombuffer(body.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.uint32) if len(batch) else np.zeros(0, np.uint32)
+
+        try:
+            tokens = scratch.gathered(bodies(), np.uint32)
+            if len(tokens):
+                sizes, first_id, t0, t1, starts, counts = (np.concatenate(x) for x in numbers)
+                by = np.lexsort((t1, t0))
+                text = np.empty(len(by), np.int64)
+                text[by] = np.cumsum(np.concatenate([[False], (t0[by[1:]] != t0[by[:-1]]) | (t1[by[1:]] != t1[by[:-1]])]))
+                for own, keeper, a, b in repeats_of(tokens, sizes, first_id, text, starts, counts, params, scratch):
+                    for k in range(0, len(own), 50_000):
+                        r = own[k : k + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t0[r], t1[r], first_id[r], keeper[k : k + 50_000], a[k : k + 50_000], b[k : k + 50_000])], ["t0", "t1", "first_id", "keeper", "a", "b"])
+        finally:
+            scratch.close()
+
+    return over_arrow(windows.repartition(shards, "shard"), run, "t0 long, t1 long, first_id long, keeper long, a long, b long")
 
 
 def marked(docs: DataFrame, params: SuffixParams) -> tuple[DataFrame, DataFrame]:
-    """(stretches to be removed, by text_hash; text_hash with its least doc_id and count of rows)."""
+    """(stretches to be removed, by t0 and t1; these with the text's least doc_id and count of rows)."""
     spark = docs.sparkSession
-    place = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    own = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce("doc_id", F.lit(int(LAST))).alias("first_id"), "text")
-    leaders = own.filter(F.col("text").isNotNull()).groupBy("text_hash").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
-    same = Window.partitionBy("anchor")
-    # Equal texts give equal rows, counted once; then an anchor that is left alone can't repeat.
-    runs = anchors(docs, params).repartition("anchor").dropDuplicates(["anchor", "text_hash", "a", "b"])
-    kept = runs.withColumn("n", F.count(F.lit(1)).over(same)).filter("n > 1").select("anchor", "text_hash", "a", "b")
-    kept.write.parquet(f"{place}/runs")
+    place = scratch_place(spark, "suffix")
+    key = text_key("text")
+    own = docs.select(key[0].alias("t0"), key[1].alias("t1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("first_id"), "text")
+    leaders = own.filter(F.col("text").isNotNull()).groupBy("t0", "t1").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    # Equal texts give equal rows, counted once; an anchor that is left alone can't repeat.
+    runs = anchors(docs, params).dropDuplicates(["anchor", "t0", "t1", "a", "b"])
+    runs.write.parquet(f"{place}/anchors")
+    runs = spark.read.parquet(f"{place}/anchors")
+    # Counted in parts, so an anchor that very many texts have is no task of its own.
+    runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor").write.parquet(f"{place}/often")
+    often = spark.read.parquet(f"{place}/often")
+    runs.join(F.broadcast(often) if often.count() <= BROADCAST else often, "anchor", "left_semi").write.parquet(f"{place}/runs")
     kept = spark.read.parquet(f"{place}/runs")
     amount = kept.agg(F.sum(F.col("b") - F.col("a") + params.words)).first()[0] or 0
     shards = max(1, -(-amount // params.shard_words))
-    by_text = kept.groupBy("text_hash").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("runs"))
-    rows = own.join(by_text, "text_hash").join(leaders.select("text_hash", "first_id"), ["text_hash", "first_id"], "left_semi").select("text", "text_hash", "first_id", "runs")
-    spans = sort_shards(cut_windows(rows, params, shards), params, shards, f"{place}/queues")
-    spans.write.parquet(f"{place}/spans")
-    return spark.read.parquet(f"{place}/spans"), leaders
+    by_text = kept.groupBy("t0", "t1").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("runs"))
+    rows = own.join(by_text, ["t0", "t1"]).join(leaders.select("t0", "t1", "first_id"), ["t0", "t1", "first_id"], "left_semi").select("text", "t0", "t1", "first_id", "runs")
+    spans = sort_shards(cut_windows(rows, params, shards), params, shards, f"{place}/sorts")
+    spans.write.parquet(f"{place}-spans")
+    delete(spark, place)
+    return spark.read.parquet(f"{place}-spans"), leaders
 
 
 def joined(spans: DataFrame, *keys: str) -> DataFrame:
@@ -252,16 +299,21 @@ def repeated_passages(docs: DataFrame, params: SuffixParams = SuffixParams()) ->
     row whose passage stays (the row itself if it repeats itself). Rows whose
     whole text equals that of a row with a smaller id are one stretch, if they have ``words`` words;
     null ids come last, and of rows given twice one is left. A null text or one of fewer words has no
-    stretch. Extra columns are left out.
+    stretch. Extra columns are left out. Ids are whole numbers; others are cast to them.
     """
     spans, leaders = marked(docs, params)
     null = lambda c: F.when(F.col(c) != int(LAST), F.col(c))
-    found = joined(spans, "text_hash", "first_id", "keeper").select(null("first_id").alias("doc_id"), null("keeper").alias("kept_doc"), F.col("a").alias("start_word"), F.col("b").alias("end_word"))
+    found = joined(spans, "t0", "t1", "first_id", "keeper").select(null("first_id").alias("doc_id"), null("keeper").alias("kept_doc"), F.col("a").alias("start_word"), F.col("b").alias("end_word"))
     several = leaders.filter("rows > 1")
     words = F.size(F.expr(r"regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+', 0)")).cast("long")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(several, "text_hash")
-    order = Window.partitionBy("text_hash").orderBy(F.col("doc_id").asc_nulls_last())
-    copies = rows.select("doc_id", "text_hash", "first_id", words.alias("n")).withColumn("k", F.row_number().over(order)).filter(f"k > 1 and n >= {params.words}")
+    key = text_key("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key[0].alias("t0"), key[1].alias("t1"), "text").join(several, ["t0", "t1"])
+    own = rows.select("doc_id", "t0", "t1", "first_id", words.alias("n")).filter(f"n >= {params.words}")
+    # Of the rows of a text the one of the least id stays; only rows with that id need to be told apart.
+    least = F.coalesce("doc_id", F.lit(int(LAST))) == F.col("first_id")
+    order = Window.partitionBy("t0", "t1").orderBy("n")
+    again = own.filter(least).withColumn("k", F.row_number().over(order)).filter("k > 1").drop("k")
+    copies = own.filter(~least).unionByName(again)
     return found.unionByName(copies.select("doc_id", null("first_id").alias("kept_doc"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word")))
 
 
@@ -270,20 +322,21 @@ def drop_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Data
 
     The white space after a removed passage goes with it. A row that loses all
     its words is dropped, as are all but one of rows with the same text of ``words``
-    words or more; other rows pass through.
+    words or more, of which that of the least doc_id stays; other rows, null texts too, pass through.
     """
     spans, leaders = marked(docs, params)
-    cuts = joined(spans, "text_hash").groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
-    h, own, first, n, cut_, k = spare(docs, "_hash", "_own", "_first", "_rows", "_cuts", "_k")
-    known = leaders.join(cuts, "text_hash", "full").filter("rows > 1 or _cuts is not null").select(F.col("text_hash").alias(h), F.col("first_id").alias(first), F.col("rows").alias(n), F.col("_cuts").alias(cut_))
-    named = docs.withColumn(h, F.xxhash64("text")).withColumn(own, F.coalesce("doc_id", F.lit(int(LAST))))
-    all_rows = named.join(known, h, "left")
+    cuts = joined(spans, "t0", "t1").groupBy("t0", "t1").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
+    h, h1, own, n, cut_, k = spare(docs, "_hash", "_hash1", "_own", "_rows", "_cuts", "_k")
+    known = leaders.join(cuts, ["t0", "t1"], "full").filter("rows > 1 or _cuts is not null").select(F.col("t0").alias(h), F.col("t1").alias(h1), F.col("rows").alias(n), F.col("_cuts").alias(cut_))
+    key = text_key("text")
+    named = docs.withColumn(h, key[0]).withColumn(h1, key[1]).withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))))
+    all_rows = named.join(known, [h, h1], "left")
     ordered = [F.col(f"`{c}`") for c in docs.columns]
     once = all_rows.filter(F.coalesce(n, F.lit(1)) == 1).select(*ordered, cut_, F.lit(1).alias(k))
-    order = Window.partitionBy(h).orderBy(own, *by_all(docs, "text"))
+    order = Window.partitionBy(h, h1).orderBy(own, *by_all(docs, "text"))
     several = all_rows.filter(F.col(n) > 1).select(*ordered, cut_, F.row_number().over(order).alias(k))
     columns = docs.columns
-    at = columns.index("text")
+    at = column_at(docs, "text")
     count = columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,5 +398,5 @@ SELECT d.doc_id, l.doc_id AS kept_doc, 0 AS start_word, len(l.words)::BIGINT AS
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without repeated passages."""
+    """Pipeline stage: the documents without repeated passages, as ``drop_repeats`` gives them; an empty table stays empty."""
     return drop_repeats(docs)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -186,25 +187,43 @@ def test_large_cell_in_parts():
     assert (label == first[want]).all()
 
 
-@pytest.mark.parametrize("most", [4_000_000, 64])
-def test_suffix_order(tmp_path, most):
+@pytest.mark.parametrize(("memory", "most"), [(16 << 20, 500_000), (64, 64), (2000, 50)])
+@pytest.mark.parametrize("cap", [200, 300])
+def test_suffix_order(tmp_path, memory, most, cap):
     rng = np.random.default_rng(7)
-    for n, letters in ((1, 1), (2, 1), (30, 1), (50, 2), (300, 3), (2000, 50), (600, 1)):
+    for n, letters in ((1, 1), (2, 1), (30, 1), (50, 2), (300, 3), (700, 50), (600, 1)):
         t = rng.integers(0, letters, n)
-        if n == 2000:
-            t = np.concatenate([t, t[:900], t[100:700]])
-        t = t.astype(np.int64)
-        order, lcp = _induce.order_of(t, str(tmp_path), most)
+        if n == 700:
+            t = np.concatenate([t, t[:400], t[100:300]])
+        scratch = _induce.Scratch(str(tmp_path), memory, most)
+        order, lcp = _induce.order_of(t, scratch, cap)
         want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
         assert order.tolist() == want
         for k in range(1, len(t)):
             a, b = t[want[k - 1] :], t[want[k] :]
             m = min(len(a), len(b))
             same = int(np.argmin(np.append(a[:m] == b[:m], False)))
-            assert lcp[k] == min(same, _induce.CAP)
+            assert lcp[k] == min(same, cap)
+        scratch.close()
     assert not list(tmp_path.iterdir())
 
 
+def test_shard_larger_than_memory(tmp_path):
+    """A string of ten times the bytes that an array may hold is sorted within a bound on all memory, its queues on disk."""
+    rng = np.random.default_rng(2)
+    t = rng.integers(0, 20_000, 400_000)
+    t[200_000:260_000] = t[:60_000]
+    scratch = _induce.Scratch(str(tmp_path), t.nbytes // 10, 20_000)
+    tracemalloc.start()
+    order, lcp = _induce.order_of(t, scratch, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * t.nbytes and scratch.spilled > len(t)
+    whole, same = _induce.order_of(t, None, 50)
+    assert (order == whole).all() and (lcp == same).all() and (lcp == 50).sum() == 60_000 - 49
+    scratch.close()
+
+
 def brute_repeats(rows, n):
     """(marks: (row, first word, word after the last, keeper)) of rows (doc_id, text) in order; and the windows that are marked."""
     first, marked = {}, {}
@@ -247,11 +266,11 @@ def passages(rng, docs=70, n=6):
     return texts + [" ".join(shared[0] + shared[0] + shared[0]), "a a a a a a a a a a a a", texts[3], texts[3], " ".join(words[:4])]
 
 
-@pytest.mark.parametrize("shard_words", [1_000_000, 300])
-def test_repeated_passages(spark, shard_words):
+@pytest.mark.parametrize(("shard_words", "memory"), [(1_000_000, 16 << 20), (300, 16 << 20), (1_000_000, 400)])
+def test_repeated_passages(spark, shard_words, memory):
     rng = random.Random(21)
     texts = passages(rng)
-    params = suffix.SuffixParams(words=6, gram=3, shard_words=shard_words, queue=500)
+    params = suffix.SuffixParams(words=6, gram=3, shard_words=shard_words, queue=500, memory=memory)
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(doc_rows(texts), COLUMNS).repartition(3)
     got = sorted(tuple(r) for r in suffix.repeated_passages(docs, params).collect())
@@ -284,6 +303,16 @@ def test_repeated_passages_odd_rows(spark):
     assert suffix.repeated_passages(docs.filter("false"), params).count() == 0 and suffix.drop_repeats(docs.filter("false"), params).count() == 0
 
 
+@pytest.mark.parametrize("words", [201, 300])
+def test_long_passages(spark, words):
+    rng = random.Random(words)
+    shared = [f"s{rng.randrange(50)}" for _ in range(450)]
+    texts = [" ".join([f"a{i}w{k}" for k in range(30)] + shared[i * 20 :]) for i in range(5)]
+    docs = spark.createDataFrame(doc_rows(texts), COLUMNS)
+    got = sorted(tuple(r) for r in suffix.repeated_passages(docs, suffix.SuffixParams(words=words)).collect())
+    assert got == sorted(brute_repeats(list(enumerate(texts)), words)) and len(got) == 4
+
+
 def test_pipeline(spark):
     """Every stage on its own input against brute force, over all documents of the smallest tables."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
