@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import _text as X
-from lodestar.llm._spark import over_arrow, read
+from lodestar.llm._spark import over_arrow, read, scratch
 
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_hyphens", "host_entropy", "entropy", "parameters", "fragment", "secure", "upper_ratio", "mark_ratio", "suffix_pages", "suffix_hosts", "pages_a_host")
 
@@ -196,7 +196,7 @@ def score_urls(named: DataFrame, model: Trees, threshold: float = 0.5) -> DataFr
     return over_arrow(named.select("page_id", "url", "_pages", "_hosts"), scored, "page_id long, url string, score double, blocked boolean")
 
 
-#: Words of hosts on the list that labels the URLs here: a part of a host's name that is one of them makes it bad.
+#: Words of hosts on the list that labels the URLs here, for want of labels in the tables: a part of a host's name that is one of them makes it bad.
 LISTED = ("adult", "casino", "bets", "pills", "spam", "ads")
 
 
@@ -207,5 +207,7 @@ def listed(host: str = "_host"):
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL score; the labels of the URLs that are fitted come from a list of host words."""
-    named = with_suffix(read(spark, sf_dir, "pages"), UrlParams())
+    place = scratch(spark, "urls")
+    with_suffix(read(spark, sf_dir, "pages"), UrlParams()).write.parquet(place)  # counted once for labels, training and scores
+    named = spark.read.parquet(place)
     return score_urls(named, fit_urls(named.withColumn("label", listed())))

@@ -355,6 +355,33 @@ def test_pipeline(spark):
     assert all(got[d]["ids"] == reference.encode_ordinary(t) and got[d]["round_trip"] for d, t in four.items())
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns of clashing names through all stages."""
+    base = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    odd = [(None, base[1][1], None, None, None), (9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, " \n", "en", "s", 2), base[2], base[2], (9004, base[3][1] + " long" * 60_000, "en", "s", 1)]
+    docs = spark.createDataFrame(base + odd, COLUMNS)
+    for c in ("_keep", "_hash", "keep", "quality", "row", "node", "ids"):
+        docs = docs.withColumn(c, docs["lang"])
+    (tmp_path / "sf").mkdir()
+    for name in ("labels", "benchmark"):
+        (tmp_path / "sf" / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    docs.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    own = spark.read.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, out = own, stage(spark, own, f"{tmp_path}/sf")
+        out.write.parquet(f"file://{tmp_path}/{k}")
+        own = spark.read.parquet(f"file://{tmp_path}/{k}")
+        if k < 4:
+            assert own.columns == docs.columns and own.count() <= before.count()
+        else:
+            assert own.count() == before.count() and own.filter("not round_trip").count() == 0
+        if k == 1:
+            ids = [r["doc_id"] for r in own.collect()]
+            assert len(ids) == len(set(ids))
+    whole = corpus_pipeline.run(spark, f"{tmp_path}/sf")
+    assert sorted(str(r["doc_id"]) for r in whole.collect()) == sorted(str(r["doc_id"]) for r in own.collect())
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
