@@ -347,8 +347,9 @@ def test_pipeline(spark):
         left = (two[d][: spans[0][0]] if spans else two[d]) + "".join(two[d][a:e] for k, ((a, _), e) in enumerate(zip(spans, ends, strict=True)) if k not in cut)
         if left.strip() or not cut:
             three[d] = left
-    windows = {w for w, _, _, _ in decontaminate.windows([(r["item_id"], r["text"]) for r in bench.collect()], decontaminate.LeakParams())}
-    four = {d: t for d, t in three.items() if not any(f" {w} " in f" {' '.join(decontaminate.WORD.findall(t.lower()))} " for w in windows)}
+    windows = {(w, whole) for w, _, _, _, whole in decontaminate.windows([(r["item_id"], r["text"]) for r in bench.collect()], decontaminate.LeakParams())}
+    plain = {d: " ".join(decontaminate.WORD.findall(t.lower())) for d, t in three.items()}
+    four = {d: t for d, t in three.items() if not any(w == plain[d] if whole else f" {w} " in f" {plain[d]} " for w, whole in windows)}
     reference = tiktoken.Encoding("t", pat_str=_tokens.PATTERN, mergeable_ranks=_tokens.load(), special_tokens={})
     got = {r["doc_id"]: r for r in whole.collect()}
     assert set(got) == set(four) and len(four) < len(three) <= len(two) < len(one) < len(rows)
