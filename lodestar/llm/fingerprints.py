@@ -75,13 +75,29 @@ def extension(h: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def in_order(text: str) -> np.ndarray:
+    """The places of all lines of a text, ordered by what follows from there to the end, a line feed before all other characters: by doubling over the ranks of lines."""
+    lines = text.split("\n")
+    known = {x: k for k, x in enumerate(sorted(set(lines)))}
+    rank = np.array([known[x] for x in lines])
+    places = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])[:-1]])
+    n, step = len(lines), 1
+    while step < 2 * n:
+        later = np.append(rank[step:], np.full(min(step, n), -1))
+        _, rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)
+        if rank.max() == n - 1:
+            break
+        step *= 2
+    return places[np.argsort(rank)]
+
+
 def summary(text: str) -> tuple[int, int, int, int, int, int, int]:
     """(code points, fingerprint, lines, repeated lines, and of the longest repeated block: first place, second place, length).
 
     Lines end at a line feed and the empty ones don't count. A line repeats if
-    an equal one came before it. Of every repeated line and the first line equal
-    to it the common extension is taken, up to where it would run past the text;
-    the longest counts, then the earliest second place. Without repeated lines
+    an equal one came before it. Of any two equal lines the common extension is
+    taken, up to where it would run past the text; the longest counts, then the
+    earliest second place, then the earliest first. Without repeated lines
     both places are -1 and the length is 0.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -101,10 +117,19 @@ def summary(text: str) -> tuple[int, int, int, int, int, int, int]:
     again = np.flatnonzero(first[inverse] != np.arange(len(starts)))
     if len(again) == 0:
         return len(codes), finger, len(starts), 0, -1, -1, 0
-    a, b = starts[first[inverse[again]]], starts[again]
-    long = extension(h, a, b)
-    k = int(long.argmax())
-    return len(codes), finger, len(starts), len(again), int(a[k]), int(b[k]), int(long[k])
+    # In the order of what follows them, the best partner of a line is a neighbour, so those pairs alone are extended.
+    order = in_order(text)
+    order = order[(codes[np.minimum(order, len(codes) - 1)] != 10) & (order < len(codes))]
+    line = inverse[np.searchsorted(starts, order)]
+    beside = np.flatnonzero(line[1:] == line[:-1])
+    x, y = order[beside], order[beside + 1]
+    long = extension(h, np.minimum(x, y), np.maximum(x, y))
+    most = int(long.max())
+    # Neighbours that share the most make runs; any two of a run share it.
+    hit = beside[long == most]
+    run = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
+    b, a = min((int(p[1]), int(p[0])) for p in (np.sort(order[r[0] : r[-1] + 2]) for r in run))
+    return len(codes), finger, len(starts), len(again), a, b, most
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -155,15 +180,15 @@ WITH coded AS (
 ), placed AS (
   SELECT doc_id, line, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place FROM pieces
 ), lined AS (
-  SELECT doc_id, place, min(place) OVER (PARTITION BY doc_id, line) AS first_at FROM placed WHERE line <> ''
+  SELECT doc_id, line, place, min(place) OVER (PARTITION BY doc_id, line) AS first_at FROM placed WHERE line <> ''
 ), counted AS (
   SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (place > first_at))::BIGINT AS n_repeated FROM lined GROUP BY doc_id
 ), extended AS (
-  SELECT l.doc_id, l.first_at, l.place AS again_at,
-    coalesce(list_position(list_transform(range(1, length(d.text) - l.place + 1), lambda i: d.text[l.first_at + i] = d.text[l.place + i]), false) - 1, length(d.text) - l.place)::BIGINT AS block_chars
-  FROM lined l JOIN documents d USING (doc_id) WHERE l.place > l.first_at
+  SELECT l.doc_id, f.place AS first_at, l.place AS again_at,
+    coalesce(list_position(list_transform(range(1, length(d.text) - l.place + 1), lambda i: d.text[f.place + i] = d.text[l.place + i]), false) - 1, length(d.text) - l.place)::BIGINT AS block_chars
+  FROM lined l JOIN lined f ON f.doc_id = l.doc_id AND f.line = l.line AND f.place < l.place JOIN documents d ON d.doc_id = l.doc_id
 ), best AS (
-  SELECT * FROM extended QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY block_chars DESC, again_at) = 1
+  SELECT * FROM extended QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY block_chars DESC, again_at, first_at) = 1
 ), whole AS (
   SELECT d.doc_id, CASE WHEN d.text = '' THEN 0 ELSE h.n_chars END AS n_chars, CASE WHEN d.text = '' THEN 0 ELSE h.fingerprint END AS fingerprint,
     CASE WHEN d.text IS NOT NULL THEN coalesce(c.n_lines, 0) END AS n_lines, CASE WHEN d.text IS NOT NULL THEN coalesce(c.n_repeated, 0) END AS n_repeated,

@@ -97,28 +97,28 @@ def naive_fingerprint(text):
 
 
 def naive_block(text):
-    lines, at, best, first, again = [], 0, (0, 0), {}, 0
+    lines, at, again, seen = [], 0, 0, set()
     for line in text.split("\n"):
         if line:
             lines.append((line, at))
+            again += line in seen
+            seen.add(line)
         at += len(line) + 1
-    out = (-1, -1, 0)
-    for line, place in lines:
-        if line in first:
-            again += 1
-            n = 0
-            while place + n < len(text) and text[first[line] + n] == text[place + n]:
-                n += 1
-            if n > out[2]:
-                out = (first[line], place, n)
-        else:
-            first[line] = place
-    return len(lines), again, *out
+    best = (0, 0, 0)
+    for k, (line, b) in enumerate(lines):
+        for other, a in lines[:k]:
+            if other == line:
+                n = 0
+                while b + n < len(text) and text[a + n] == text[b + n]:
+                    n += 1
+                best = max(best, (n, -b, -a))
+    n, b, a = best
+    return len(lines), again, *((-a, -b, n) if n else (-1, -1, 0))
 
 
 def test_fingerprints(spark):
     rng = random.Random(4)
-    texts = ["", None, "a", "\n\n", "é\U0001f600x", "ab\nab", "ab\nab\nab\n", "x\ny\nx\ny\nz"] + ["\n".join(rng.choice(["aa", "b", "", "cc dd"]) for _ in range(rng.randint(1, 12))) for _ in range(50)] + ["long line\n" * 20_000]
+    texts = ["", None, "a", "\n\n", "é\U0001f600x", "ab\nab", "ab\nab\nab\n", "x\ny\nx\ny\nz", "A\nX\nB\nY\nA\nB\nZ\nA\nB\nZ", "q\tz\nq\nq\tz\nq\nqq"] + ["\n".join(rng.choice(["aa", "b", "", "cc dd"]) for _ in range(rng.randint(1, 12))) for _ in range(50)] + ["long line\n" * 20_000]
     docs = table(spark, texts)
     got = fingerprints.fingerprints(docs).collect()
     assert len(got) == len(texts) + 3
