@@ -84,15 +84,16 @@ HIT = ("entity_type", "entity_id", "language", "score")
 DIGITS = 9
 
 
-def _order(score: str) -> list[Column]:
-    return [F.round(F.col(score), DIGITS).desc_nulls_last(), F.col("entity_type"), F.col("entity_id"), F.col("language")]
+def _order(hits: DataFrame, score: str) -> list[Column]:
+    keys = ["entity_type", "entity_id", "language", *(["model"] if "model" in hits.columns else [])]
+    return [F.round(F.col(score), DIGITS).desc_nulls_last(), *map(F.col, keys)]
 
 
 def best(hits: DataFrame, limit: int, score: str = "score") -> DataFrame:
-    """The ``limit`` hits of greatest score, ties by type, id and language: one partial top-k per task."""
-    return hits.orderBy(*_order(score)).limit(max(0, limit))
+    """The ``limit`` hits of greatest score, ties by type, id, language and, where there is one, model: one partial top-k per task."""
+    return hits.orderBy(*_order(hits, score)).limit(max(0, limit))
 
 
 def ranked(hits: DataFrame, score: str = "score") -> DataFrame:
     """Adds ``rank``, from 1. For lists that ``best`` has cut: they are small and lie in one partition."""
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*_order(score))))
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*_order(hits, score))))
