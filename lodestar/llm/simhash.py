@@ -5,18 +5,17 @@ their accents and digits of any script, all other characters left out. Its
 sketch is a row of 32-bit SimHash fingerprints (``blocks`` of them). Copies are
 near if their sketches differ in ``radius`` bits at most, about a seventh of all.
 
-Each fingerprint emits all its variants within one bit, half of the two bits
-that it may be off: two fingerprints have a variant in common just where they
-differ in two bits or less. Variants are shuffled, and nodes that meet at one are verified
-by their whole sketches. Sketches within ``3 * blocks - 1`` bits have a
-fingerprint within two bits, so such pairs are always found; further out the chance falls slowly
-(measured in the README).
-
-The shuffle goes by cells: a fingerprint's high bits name its cell, so one row
-carries all variants that flip a low bit, and a row for each high bit carries the
-variant that flips it. A cell's nodes come to about ``cell`` however many
-documents there are; the pairs found don't depend on the number of cells. Copies with one sketch
-are one node, and a cell gives a link from each node to the first of its
+Nothing within the radius is missed: if each of two sketches' fingerprints differed in more than
+twice its ``flips``, the sketches would differ in more than ``radius`` bits. So each fingerprint emits all
+its variants within its flips (two bits for nine of the twelve, one for the others), half of what it may be
+off: two fingerprints have a variant in common just where they differ in twice that or less.
+Variants are compared where they meet, and nodes that meet at one are verified by their whole sketches.
+
+The shuffle goes by cells. A table of up to ``cell`` nodes has one for each fingerprint. For a larger one
+a fingerprint is cut into stretches of bits, one more than it may be off or some more: then one stretch at least, or some, are
+alike in both, and a cell is what nodes have in a choice of stretches. A cell's nodes come to less than ``cell`` however many
+documents there are, and the pairs found don't depend on the number of cells. Copies with one sketch
+are one node, nodes with one fingerprint meet as one, and a cell gives a link from each node to the first of its
 component, so thousands of copies cost as much as one.
 Groups are the connected components of all links.
 """
@@ -25,9 +24,10 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +39,20 @@ from lodestar.llm import _text as X
 from lodestar.llm._spark import by_all, delete, over_arrow, read, scratch, spare, text_key
 
 BITS = 32
+#: Stretches that a fingerprint is cut into at most: 16 bits alike, for 3 * 10**10 nodes; beyond that cells grow.
+STRETCHES = 8
 #: Rows to be dropped, of 24 bytes each, that are sent to all executors; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Variants of a cell that are sorted at once, and pairs that are verified at once.
+VARIANTS, PAIRS = 1 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
 class SimHashParams:
     """``blocks`` fingerprints of 32 bits (an even number), ``radius`` of the whole sketch, ``cell``: nodes of a cell, about.
 
-    Chance members of a bucket grow as documents * 33 / 2**32: beyond some 10**9 documents a
-    cell's work outgrows its rows, and a smaller radius on longer fingerprints would be called for.
+    Chance members of a bucket grow as documents * 529 / 2**32: beyond some 10**8 documents a
+    cell's work outgrows its rows, and longer fingerprints would be called for.
     """
 
     blocks: int = 12
@@ -59,6 +63,11 @@ class SimHashParams:
         """The columns of a sketch."""
         return [f"s{k}" for k in range(self.blocks // 2)]
 
+    def flips(self) -> list[int]:
+        """By fingerprint, how many bits its variants flip: twice that, and one, over all fingerprints come to more than the radius."""
+        every = max(0, -(-(self.radius - self.blocks + 1) // 2))
+        return [every // self.blocks + (k < every % self.blocks) for k in range(self.blocks)]
+
 
 @cache
 def letters() -> np.ndarray:
@@ -133,14 +142,32 @@ def nodes_of(rows: DataFrame, params: SimHashParams) -> DataFrame:
     return found.withColumn("node", F.monotonically_increasing_id())
 
 
+def routes(params: SimHashParams, high: int) -> list[tuple[int, list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(fingerprint, stretches that a cell's nodes have alike, all others): stretches are (least bit, bits), those alike have ``high`` bits or more, as far as ``STRETCHES`` go.
+
+    Two fingerprints that are off by twice their flips at most are alike in all the stretches of some route.
+    """
+    out = []
+    for b, flips in enumerate(params.flips()):
+        off = 2 * flips
+        n = next((n for n in range(off + 1, STRETCHES) if (n - off) * (BITS // n) >= high), max(off + 1, STRETCHES))
+        edges = [k * BITS // n for k in range(n + 1)]
+        cut = [(x, y - x) for x, y in zip(edges, edges[1:], strict=False)]
+        for alike in combinations(range(n), n - off) if high else [()]:
+            out.append((b, [cut[k] for k in alike], [cut[k] for k in range(n) if k not in alike]))
+    return out
+
+
 def cells(nodes: DataFrame, params: SimHashParams, high: int) -> DataFrame:
-    """(cell, value, at_home, node, the sketch): each fingerprint of each node in its own cell, and once for each of the ``high`` bits flipped in that bit's cell."""
-    value = F.element_at(F.array(*[F.shiftrightunsigned(F.col(s), k).bitwiseAND(F.lit(0xFFFFFFFF)) for s in params.words() for k in (0, 32)]), F.col("_b") + 1)
-    flips = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << (BITS - 1 - k)).cast("long") for k in range(high)]])
-    every = nodes.select("node", *params.words(), F.explode(F.sequence(F.lit(0), F.lit(params.blocks - 1))).alias("_b")).withColumn("_v", value).withColumn("_f", F.explode(flips))
-    own = F.col("_v").bitwiseXOR(F.col("_f"))
-    cell = F.shiftleft(F.col("_b").cast("long"), high).bitwiseOR(F.shiftrightunsigned(own, BITS - high))
-    return every.select(cell.alias("cell"), own.alias("value"), (F.col("_f") == 0).alias("at_home"), "node", *params.words())
+    """(cell, node, the sketch): each node in its cell of each route; the cell's number has the route's above 32 bits."""
+    names = []
+    for k, (b, alike, _) in enumerate(routes(params, high)):
+        cell, at = F.lit(k << BITS), 0
+        for shift, bits in alike:
+            own = F.shiftrightunsigned(F.col(params.words()[b // 2]), 32 * (b % 2) + shift).bitwiseAND(F.lit((1 << bits) - 1))
+            cell, at = cell.bitwiseOR(F.shiftleft(own, at)), at + bits
+        names.append(cell.cast("long"))
+    return nodes.select(F.explode(F.array(*names)).alias("cell"), "node", *params.words())
 
 
 def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,76 +189,135 @@ def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def shared(value: np.ndarray, at_home: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows one bucket after the other, first of each bucket) of the variants that several rows have."""
-    home, guest = np.flatnonzero(at_home).astype(np.uint64), np.flatnonzero(~at_home).astype(np.uint64)
-    own, visiting = value[at_home] << X.U(32) | home, value[~at_home] << X.U(32) | guest
-    # A large cell is taken in parts, by the next bits of the variants: the same buckets in less memory.
-    fine = min(BITS - high, max(0, len(own).bit_length() - 17))
-    rows, firsts, at = [], [], 0
-    for part in range(1 << fine):
-        inside = lambda x: x[(x >> X.U(64 - high - fine)) & X.U((1 << fine) - 1) == X.U(part)] if fine else x
-        middle = inside(own)
-        near = [inside(own ^ X.U(1 << (63 - high - k))) for k in range(fine)] + [inside(visiting)]
-        entries = np.empty(len(middle) * (1 + BITS - high - fine) + sum(map(len, near)), np.uint64)
-        entries[: len(middle)] = middle
-        for k in range(BITS - high - fine):
-            entries[(k + 1) * len(middle) : (k + 2) * len(middle)] = middle ^ X.U(1 << (32 + k))
-        entries[len(middle) * (1 + BITS - high - fine) :] = np.concatenate(near)
-        entries.sort()
-        again = np.zeros(len(entries) + 1, bool)
-        again[1:-1] = (entries[1:] ^ entries[:-1]) < X.U(1 << 32)
-        some = again[:-1] | again[1:]
-        firsts.append(at + np.flatnonzero(~again[:-1][some]))
-        rows.append((entries[some] & X.U(0xFFFFFFFF)).astype(np.int64))
-        at += len(rows[-1])
-    return np.concatenate(rows), np.concatenate(firsts)
-
-
-def meet(value: np.ndarray, at_home: np.ndarray, sketch: np.ndarray, high: int, radius: int) -> np.ndarray:
+@cache
+def ball(bits: int, flips: int) -> np.ndarray:
+    """The numbers of ``bits`` bits of which ``flips`` at most are set."""
+    return np.array([sum(1 << b for b in own) for k in range(min(bits, flips) + 1) for own in combinations(range(bits), k)], np.uint64)
+
+
+def shared(value: np.ndarray, spare: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows one bucket after the other, first of each bucket) of the variants that several rows have: all that flip ``spare`` bits at most below the ``high`` ones."""
+    low = value & X.U((1 << (BITS - high)) - 1)
+    entries = [np.zeros(0, np.uint64)]
+    for k in np.unique(spare):
+        own = np.flatnonzero(spare == k).astype(np.uint64)
+        entries.append(((low[own] << X.U(32) | own)[:, None] ^ (ball(BITS - high, int(k)) << X.U(32))).ravel())
+    entries = np.concatenate(entries)
+    entries.sort()
+    again = np.zeros(len(entries) + 1, bool)
+    again[1:-1] = (entries[1:] ^ entries[:-1]) < X.U(1 << 32)
+    some = again[:-1] | again[1:]
+    return (entries[some] & X.U(0xFFFFFFFF)).astype(np.int64), np.flatnonzero(~again[:-1][some])
+
+
+def parts(value: np.ndarray, spare: np.ndarray, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, their spare flips, bits that are settled): the variants of a cell cut by further bits until ``VARIANTS`` at most are a part."""
+    todo = [(np.arange(len(value)), spare, high)]
+    while todo:
+        own, spare, high = todo.pop()
+        if len(own) < 2:
+            continue
+        counts = np.bincount(spare)
+        if high == BITS or sum(int(n) * len(ball(BITS - high, k)) for k, n in enumerate(counts)) <= VARIANTS:
+            yield own, spare, high
+            continue
+        bit = (value[own] >> X.U(BITS - 1 - high) & X.U(1)).astype(np.int8)
+        for other in (bit, 1 - bit):
+            left = spare - other
+            todo.append((own[left >= 0], left[left >= 0], high + 1))
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + sizes[i] - 1 of all i, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def pieces(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose sizes come to about ``most``, one item at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def meet(value: np.ndarray, spare: np.ndarray, sketch: np.ndarray, high: int, radius: int) -> np.ndarray:
     """Component labels of a cell's rows: those that share a variant and whose sketches are within the radius are joined, and what is joined to them.
 
     Every pair at a variant is verified unless a path joins it already.
     """
     label = np.arange(len(value))
-    row, first = shared(value, at_home, high)
-    size = np.diff(np.append(first, len(row)))
-
-    def verify(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        pairs = np.unique((x << 32 | y)[label[x] != label[y]])
-        for k in range(0, len(pairs), 1 << 20):
-            x, y = pairs[k : k + (1 << 20)] >> 32, pairs[k : k + (1 << 20)] & 0xFFFFFFFF
-            x, y = x[label[x] != label[y]], y[label[x] != label[y]]
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1) <= radius
-            label = united(label, x[near], y[near])
-        return label
-
-    step = 0
-    while len(first):
-        owner = np.repeat(np.arange(len(first)), size)
-        place = np.arange(len(row)) - first[owner]
-        if step == 0:
-            label = verify(label, row[first[owner]][place > 0], row[place > 0])
-        else:
-            far = np.flatnonzero(place >= step)
-            label = verify(label, row[far - step], row[far])
-        # A bucket of one component, or without a pair left, is done.
-        more = (np.minimum.reduceat(label[row], first) != np.maximum.reduceat(label[row], first)) & (size > max(step + 1, 2))
-        row, size = row[np.repeat(more, size)], size[more]
-        first = np.cumsum(size) - size
-        step += 1
+    words = [np.ascontiguousarray(sketch[:, k]) for k in range(sketch.shape[1])]
+    # Rows with one value meet as one item.
+    _, lead, item = np.unique(value << X.U(8) | spare.astype(np.uint64), return_index=True, return_inverse=True)
+    members, size = np.argsort(item, kind="stable"), np.bincount(item)
+    heads = np.cumsum(size) - size
+
+    def verify(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal label
+        for k in range(0, len(x), PAIRS):
+            a, b = x[k : k + PAIRS], y[k : k + PAIRS]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            off = np.zeros(len(a), np.int64)
+            for w in words:
+                off += np.bitwise_count(w[a] ^ w[b])
+            label = united(label, a[off <= radius], b[off <= radius])
+
+    def verify_items(x: np.ndarray, y: np.ndarray) -> None:
+        """All pairs of a row of item x[i] and a row of y[i]."""
+        low, top = spans()
+        new = np.minimum(low[x], low[y]) != np.maximum(top[x], top[y])
+        pairs = np.unique(np.minimum(x, y)[new] << 32 | np.maximum(x, y)[new])
+        x, y = pairs >> 32, pairs & 0xFFFFFFFF
+        for own in pieces(size[x] * size[y], PAIRS):
+            # Each row of x[i] in turn beside all of y[i].
+            a = ragged(heads[x[own]], size[x[own]])
+            mate = np.repeat(y[own], size[x[own]])
+            for few in pieces(size[mate], PAIRS):
+                verify(members[np.repeat(a[few], size[mate[few]])], members[ragged(heads[mate[few]], size[mate[few]])])
+
+    def spans() -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest label of each item's rows."""
+        return np.minimum.reduceat(label[members], heads), np.maximum.reduceat(label[members], heads)
+
+    def buckets(row: np.ndarray, first: np.ndarray, check: Callable[[np.ndarray, np.ndarray], None], labels: Callable[[], tuple[np.ndarray, np.ndarray]]) -> None:
+        """Checks all pairs of each bucket: its first with the others, then all where that left some apart."""
+        if not len(first):
+            return
+        count = np.diff(np.append(first, len(row)))
+        place = np.arange(len(row)) - np.repeat(first, count)
+        check(np.repeat(row[first], count)[place > 0], row[place > 0])
+        low, top = labels()
+        more = np.repeat((np.minimum.reduceat(low[row], first) != np.maximum.reduceat(top[row], first)) & (count > 2), count)
+        row, place = row[more], place[more]
+        for own in pieces(place, VARIANTS):
+            n = place[own]
+            check(np.repeat(row[own], n), row[ragged(np.arange(own.start, own.stop) - n, n)])
+
+    if len(value):
+        several = np.repeat(size > 1, size)
+        buckets(members[several], (np.cumsum(size[size > 1]) - size[size > 1]), verify, lambda: (label, label))
+    for own, left, settled in parts(value[lead], spare[lead].astype(np.int8), high):
+        row, first = shared(value[lead[own]], left, settled)
+        buckets(own[row], first, verify_items, spans)
     return label
 
 
 def links(nodes: DataFrame, params: SimHashParams, high: int) -> DataFrame:
     """(a, b): in each cell, a link from every joined node to the first of its component."""
-    names = params.words()
+    names, flips, ways = params.words(), params.flips(), routes(params, high)
 
     def run(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
-        sketch = np.stack([table[s].to_numpy() for s in names], 1).view(np.uint64)
-        label = meet(table["value"].to_numpy().astype(np.uint64), table["at_home"].to_numpy(), sketch, high, params.radius)
+        sketch = np.stack([table[s].to_numpy() for s in names]).view(np.uint64).T
+        b, _, rest = ways[table["cell"][0].as_py() >> BITS]
+        own = sketch[:, b // 2] >> X.U(32 * (b % 2))
+        value, free = np.zeros(len(node), np.uint64), 0
+        for shift, bits in rest:
+            value, free = value | (own >> X.U(shift) & X.U((1 << bits) - 1)) << X.U(free), free + bits
+        label = meet(value, np.full(len(node), flips[b], np.int8), sketch, BITS - free, params.radius)
         at = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[label[at]], "b": node[at]})
 
