@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import _text as X
 from lodestar.llm._induce import Scratch, order_of, steps
-from lodestar.llm._spark import by_all, column_at, delete, over_arrow, read, spare, text_key
+from lodestar.llm._spark import by_all, column_at, delete, freeing, over_arrow, read, spare, text_key
 from lodestar.llm._spark import scratch as scratch_place
 
 LAST = np.iinfo(np.int64).max
@@ -265,22 +265,24 @@ def marked(docs: DataFrame, params: SuffixParams) -> tuple[DataFrame, DataFrame]
     key = text_key("text")
     own = docs.select(key[0].alias("t0"), key[1].alias("t1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("first_id"), "text")
     leaders = own.filter(F.col("text").isNotNull()).groupBy("t0", "t1").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
-    # Equal texts give equal rows, counted once; an anchor that is left alone can't repeat.
-    runs = anchors(docs, params).dropDuplicates(["anchor", "t0", "t1", "a", "b"])
-    runs.write.parquet(f"{place}/anchors")
-    runs = spark.read.parquet(f"{place}/anchors")
-    # Counted in parts, so an anchor that very many texts have is no task of its own.
-    runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor").write.parquet(f"{place}/often")
-    often = spark.read.parquet(f"{place}/often")
-    runs.join(F.broadcast(often) if often.count() <= BROADCAST else often, "anchor", "left_semi").write.parquet(f"{place}/runs")
-    kept = spark.read.parquet(f"{place}/runs")
-    amount = kept.agg(F.sum(F.col("b") - F.col("a") + params.words)).first()[0] or 0
-    shards = max(1, -(-amount // params.shard_words))
-    by_text = kept.groupBy("t0", "t1").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("runs"))
-    rows = own.join(by_text, ["t0", "t1"]).join(leaders.select("t0", "t1", "first_id"), ["t0", "t1", "first_id"], "left_semi").select("text", "t0", "t1", "first_id", "runs")
-    spans = sort_shards(cut_windows(rows, params, shards), params, shards, f"{place}/sorts")
-    spans.write.parquet(f"{place}-spans")
-    delete(spark, place)
+    # Each step's shuffles, and the rows that only the next step reads, go when it has ended.
+    with freeing(spark):
+        # Equal texts give equal rows, counted once; an anchor that is left alone can't repeat.
+        anchors(docs, params).dropDuplicates(["anchor", "t0", "t1", "a", "b"]).write.parquet(f"{place}/anchors")
+        runs = spark.read.parquet(f"{place}/anchors")
+        # Counted in parts, so an anchor that very many texts have is no task of its own.
+        runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor").write.parquet(f"{place}/often")
+        often = spark.read.parquet(f"{place}/often")
+        runs.join(F.broadcast(often) if often.count() <= BROADCAST else often, "anchor", "left_semi").write.parquet(f"{place}/runs")
+        delete(spark, f"{place}/anchors")
+        kept = spark.read.parquet(f"{place}/runs")
+        amount = kept.agg(F.sum(F.col("b") - F.col("a") + params.words)).first()[0] or 0
+        shards = max(1, -(-amount // params.shard_words))
+        by_text = kept.groupBy("t0", "t1").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("runs"))
+        rows = own.join(by_text, ["t0", "t1"]).join(leaders.select("t0", "t1", "first_id"), ["t0", "t1", "first_id"], "left_semi").select("text", "t0", "t1", "first_id", "runs")
+        spans = sort_shards(cut_windows(rows, params, shards), params, shards, f"{place}/sorts")
+        spans.write.parquet(f"{place}-spans")
+        delete(spark, place)
     return spark.read.parquet(f"{place}-spans"), leaders
 
 

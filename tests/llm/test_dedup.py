@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import tracemalloc
 import unicodedata
 
@@ -315,6 +316,21 @@ def test_repeated_passages(spark, shard_words, memory):
     assert {i: r["text"].strip() for i, r in out.items()} == want and all(r["n_chars"] == len(r["text"]) for r in out.values())
 
 
+def test_shuffles_are_freed(spark):
+    """What the steps shuffled leaves the disks with the step, not when the driver happens to collect its garbage."""
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    texts = [" ".join(f"a{i % 5}w{k}" for k in range(70)) + f" end{i}" for i in range(40)]
+    docs = spark.createDataFrame(doc_rows(texts), COLUMNS).repartition(3)
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    spans, _ = suffix.marked(docs, suffix.SuffixParams())
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spans.count() == 35 and spark.conf.get(key) == setting
+
+
 def test_repeated_passages_odd_rows(spark):
     params = suffix.SuffixParams(words=4, gram=2)
     rows = [(None, "a b c d e", 1), (3, "x a b c d e", 2), (3, "x a b c d e", 3), (4, None, 4), (5, "", 5), (6, "a b c", 6), (7, "a b c", 7), (8, "é\ta\nb  c d ü", 8), (9, "z " * 30_000, 9)]
