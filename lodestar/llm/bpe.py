@@ -15,8 +15,9 @@ tested; where one fails, a stretch about it is contracted anew, twice as wide ea
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import duckdb
 import numpy as np
@@ -37,23 +38,27 @@ WORDS, BYTES = 40_000, 800_000
 LONG, PIECE = 128, 64
 
 #: Rows carry the token after theirs and its place. ``best`` is the code of a word's pair: its rank, then its
-#: place, and null once there is none. A merged token has its rank as id.
+#: place, and null once there is none. A merged token has its rank as id. The steps' least codes are grouped and joined
+#: back, which takes less than a window over all rows.
 CONTRACT = """
 WITH RECURSIVE steps(word, pos, id, next_id, next_pos, best) AS (
   SELECT word, pos, id, next_id, next_pos, min((m.rank::BIGINT << 32) + pos) OVER (PARTITION BY word)
   FROM (SELECT word, pos, id, lead(id) OVER o AS next_id, lead(pos) OVER o AS next_pos FROM start_rows WINDOW o AS (PARTITION BY word ORDER BY pos)) p
   LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
   UNION ALL
-  SELECT word, pos, p.id, next_id, next_pos, min((m.rank::BIGINT << 32) + pos) OVER (PARTITION BY word)
-  FROM (
-    SELECT s.word, s.pos, CASE WHEN s.pos = s.best & 4294967295 THEN (s.best >> 32)::INTEGER ELSE s.id END AS id,
-      CASE WHEN s.pos = s.best & 4294967295 THEN g.next_id WHEN s.next_pos = s.best & 4294967295 THEN (s.best >> 32)::INTEGER ELSE s.next_id END AS next_id,
-      CASE WHEN s.pos = s.best & 4294967295 THEN g.next_pos ELSE s.next_pos END AS next_pos
-    FROM (SELECT * FROM steps WHERE best IS NOT NULL) s
-    JOIN (SELECT word, next_pos AS gone FROM steps WHERE pos = best & 4294967295) b USING (word)
-    JOIN (SELECT word, pos, next_id, next_pos FROM steps WHERE best IS NOT NULL) g ON g.word = s.word AND g.pos = b.gone
-    WHERE s.pos <> b.gone
-  ) p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+  (WITH pairs AS MATERIALIZED (
+    SELECT word, pos, p.id, next_id, next_pos, (m.rank::BIGINT << 32) + pos AS code
+    FROM (
+      SELECT s.word, s.pos, CASE WHEN s.pos = s.best & 4294967295 THEN (s.best >> 32)::INTEGER ELSE s.id END AS id,
+        CASE WHEN s.pos = s.best & 4294967295 THEN g.next_id WHEN s.next_pos = s.best & 4294967295 THEN (s.best >> 32)::INTEGER ELSE s.next_id END AS next_id,
+        CASE WHEN s.pos = s.best & 4294967295 THEN g.next_pos ELSE s.next_pos END AS next_pos
+      FROM (SELECT * FROM steps WHERE best IS NOT NULL) s
+      JOIN (SELECT word, next_pos AS gone FROM steps WHERE pos = best & 4294967295) b USING (word)
+      JOIN (SELECT word, pos, next_id, next_pos FROM steps WHERE best IS NOT NULL) g ON g.word = s.word AND g.pos = b.gone
+      WHERE s.pos <> b.gone
+    ) p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+  )
+  SELECT word, pos, id, next_id, next_pos, best FROM pairs JOIN (SELECT word, min(code) AS best FROM pairs GROUP BY word) USING (word))
 )
 SELECT word, id FROM steps WHERE best IS NULL ORDER BY word, pos
 """
@@ -122,6 +127,8 @@ class Coder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM piece_rows")
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces = {i: t for t, i in ranks.items()}
+        self.ids = np.zeros(max(ranks.values()) + 1, bool)
+        self.ids[list(ranks.values())] = True
         self.fits: dict[tuple[int, int], bool] = {}
         self.forget()
 
@@ -228,10 +235,9 @@ class Coder:
         doc = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(firsts))
         for k in range(0, len(tokens), BLOCK):
             ids = tokens[k : k + BLOCK].astype(np.int32)
-            self.con.register("token_rows", pa.table({"doc": doc[k : k + BLOCK], "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-            if self.con.execute("SELECT count(*) FROM token_rows t ANTI JOIN vocabulary v USING (id)").fetchall()[0][0]:
-                self.con.unregister("token_rows")
+            if ids.min() < 0 or ids.max() >= len(self.ids) or not self.ids[ids].all():
                 raise KeyError("a token isn't in the vocabulary")
+            self.con.register("token_rows", pa.table({"doc": doc[k : k + BLOCK], "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             found = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("token_rows")
             for d, body in zip(found["doc"].to_pylist(), found["body"].to_pylist(), strict=True):
@@ -243,13 +249,16 @@ class Runs:
     """Strings numbered as they come, and the tokens of each, one run after the other."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+        self.number([])
         self.flat, self.firsts = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.again = np.zeros(0, bool)
 
+    def number(self, names: list[str]) -> None:
+        """Numbers ``names`` from 0 on; a string that is looked up and new takes the next number."""
+        self.place: dict[str, int] = defaultdict(count(len(names)).__next__, zip(names, range(len(names)), strict=True))
+
     def places(self, strings: list[str]) -> np.ndarray:
-        place = self.place
-        out = np.fromiter((place.setdefault(s, len(place)) for s in strings), np.int64, len(strings))
+        out = np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
         self.again[out[out < len(self.again)]] = True
         return out
 
@@ -259,7 +268,7 @@ class Runs:
             kept = np.flatnonzero(self.again)
             names = list(self.place)
             self.flat, self.firsts = ragged(self.flat, self.firsts, kept)
-            self.place = {names[k]: i for i, k in enumerate(kept)}
+            self.number([names[k] for k in kept])
             self.again = np.zeros(len(kept), bool)
 
     def unfilled(self) -> list[str]:

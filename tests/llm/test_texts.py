@@ -172,6 +172,19 @@ def test_bpe_leftmost_pair_first():
         own.decode(np.array([9999]), np.array([0, 1]))
 
 
+def test_bpe_step_sorts_nothing():
+    """The step that is run again and again has no window, whose sort took about a third of a contraction, and gives the tokens of the reference."""
+    ranks = _tokens.load()
+    own = bpe.Coder(ranks, bpe.merges_of(ranks))
+    words = [" unbelievable", "aaaaaaa", "x", " strengthened", "\u4e2d\u6587\u5b57", "0123456789"]
+    tokens, firsts = own.contract([w.encode() for w in words])
+    assert [tokens[a:b].tolist() for a, b in zip(firsts, firsts[1:], strict=False)] == [_tokens.encoding(ranks).encode_ordinary(w) for w in words]
+    own.con.execute("CREATE TABLE start_rows(word INTEGER, pos INTEGER, id INTEGER)")
+    plan = "".join(r[1] for r in own.con.execute("EXPLAIN " + bpe.CONTRACT).fetchall()).lower()
+    # Those of the first rows only: their successors and their words' least codes.
+    assert plan.count("─ window") == 2, plan
+
+
 def test_bpe_long_words():
     """Words without a space: cut into pieces, mended at the seams, equal to the whole; a repeated unit shifts every seam."""
     own = bpe.Coder(_tokens.load(), bpe.merges_of(_tokens.load()))
