@@ -1,6 +1,7 @@
 """Retrieval operators on small tables, edge cases first."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sqlcheck import SF
@@ -9,7 +10,7 @@ from lodestar.operators import evaluation as E
 from lodestar.functions import trigrams as G
 from lodestar.functions import vectors as V
 from lodestar.operators import ann, fusion, keyword, semantic
-from lodestar.operators.common import Scope, condition
+from lodestar.operators.common import Scope, Top, condition
 from lodestar.operators.search import Searcher, SearchOptions
 from lodestar.plans import tables as X
 from lodestar.sources.documents import prepared
@@ -228,3 +229,38 @@ def test_metrics(spark):
     for q, (g, x) in cases.items():
         assert rows[q] == pytest.approx((E.recall_at(g, x, 3), E.reciprocal_rank(g, x)))
     assert E.recall_at(["x"], ["x"], 0) == 0 and E.recall_at([], [], 0) == 1 and E.reciprocal_rank(["a", "b"], ["b"]) == 0.5
+
+
+def test_trigram_search_all_makes_no_pairs(spark):
+    """Each query finds what it finds alone, over several blocks and among many ties; pairs of a query and a document are no rows."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcd"), 3)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 5))) for _ in range(120)]
+    docs = spark.createDataFrame([("t", f"{i:03d}", "en" if i % 3 else "de", t) for i, t in enumerate(texts)], "entity_type string, entity_id string, language string, document string").repartition(3)
+    rows = [(i, "en" if i % 2 else "de", t) for i, t in enumerate([*words[:6], " ".join(words[:4]), "", "zzz"])] + [(99, None, words[0])]
+    asked = spark.createDataFrame(rows, "query_id int, language string, text string")
+    for block in (4_000_000, 12):
+        found = keyword.trigram_search_all(docs, asked, 3, block=block)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        got = {(r["query_id"], r["rank"]): (r["entity_id"], round(r["score"], 9)) for r in found.collect()}
+        want = {}
+        for i, language, text in rows:
+            if language and text:
+                hits = keyword.trigram_search(docs, text, Scope(language), 3).collect()
+                want |= {(i, k + 1): (r["entity_id"], round(r["score"], 9)) for k, r in enumerate(hits)}
+        assert got == want and len(want) > 20
+
+
+def test_top_holds_no_more_than_its_limit():
+    """A thousand equal rows for each of two queries: the first by key stay, whatever the order in which they come."""
+    for limit in (1, 3):
+        top = Top(2, limit, 9)
+        top.most = 10
+        for a in np.random.default_rng(1).permutation(100):
+            keys = pa.RecordBatch.from_arrays([pa.array([f"{a * 10 + i:04d}" for i in range(10)])], ["k"])
+            top.add(np.repeat([0, 1], 10), np.ones(20), keys, np.tile(np.arange(10), 2))
+            assert top.n <= 30
+        q, _, keys = top.rows()
+        assert sorted(zip(q.tolist(), keys["k"].to_pylist(), strict=True))[:limit] == [(0, f"{i:04d}") for i in range(limit)]
+    assert Top(1, 3, 9).rows() is None
