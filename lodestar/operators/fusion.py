@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.vectors import matrix
+
 KEY = ("entity_type", "entity_id", "language", "model")
 
 
@@ -51,7 +54,7 @@ def diversified(scores: Sequence[float], similarity: Callable[[int, int], float]
 
     The first hit is the first of the list. Then always the one of greatest
     ``weight`` * score - (1 - ``weight``) * (greatest similarity to a chosen one, 0 at least)
-    follows, the earliest of equals. ``weight`` is kept within 0 and 1.
+    follows, the earliest of those that are equal to twelve digits: sums of floats depend on their order. ``weight`` is kept within 0 and 1.
     """
     n, k, weight = len(scores), min(k, len(scores)), min(1.0, max(0.0, weight))
     if k <= 0:
@@ -61,7 +64,7 @@ def diversified(scores: Sequence[float], similarity: Callable[[int, int], float]
         top, at = -float("inf"), -1
         for i in left:
             close[i] = max(close[i], similarity(i, chosen[-1]))
-            value = weight * scores[i] - (1 - weight) * close[i]
+            value = round(weight * scores[i] - (1 - weight) * close[i], 12)
             if value > top:
                 top, at = value, i
         if at < 0:
@@ -79,22 +82,23 @@ def diversify(hits: DataFrame, k: int, weight: float, by: str = "query_id") -> D
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank", kind="stable").reset_index(drop=True)
-        size = max((len(v) for v in group["embedding"] if v is not None), default=0)
+    def pick(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["rank"])).combine_chunks()
+        vectors = group["embedding"].combine_chunks()
+        lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        size = int(lengths.max(initial=0))
         m = np.zeros((len(group), size))
-        for i, v in enumerate(group["embedding"]):
-            if v is not None and len(v) == size:
-                m[i] = v
+        if size:
+            whole = np.flatnonzero(lengths == size)
+            m[whole] = matrix(vectors.take(pa.array(whole)), size)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         m /= np.where(length > 0, length, 1)
-        close = m @ m.T
-        chosen = diversified(group["score"].fillna(0.0).tolist(), lambda i, j: float(close[i, j]), k, weight)
-        out = group.iloc[chosen].copy()
-        out["place"] = np.arange(1, len(chosen) + 1, dtype=np.int64)
-        return out
+        close = (m @ m.T).tolist()
+        scores = group["score"].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        chosen = diversified(np.where(np.isnan(scores), 0.0, scores).tolist(), lambda i, j: close[i][j], k, weight)
+        return group.take(pa.array(chosen, pa.int64())).append_column("place", pa.array(range(1, len(chosen) + 1), pa.int64()))
 
-    return hits.groupBy(by).applyInPandas(pick, f"{fields}, place long")
+    return hits.groupBy(by).applyInArrow(pick, f"{fields}, place long")
 
 
 def partial_batches(values: Sequence, size: int) -> Iterator[Sequence]:
