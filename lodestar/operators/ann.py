@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
 from lodestar.operators.common import Scope
-from lodestar.operators.semantic import semantic_search
+from lodestar.operators.semantic import search_all, semantic_search
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,8 @@ def filed(vectors: DataFrame, cells: Cells) -> DataFrame:
             cell = np.full(len(batch), -1, np.int32)
             if len(rows):
                 v = V.matrix(lists.take(pa.array(rows)), own.shape[1])
-                cell[rows] = np.where(np.abs(v).sum(1) > 0, (v @ own.T).argmax(1), -1)
+                near = np.concatenate([(v[a : a + 1024] @ own.T).argmax(1) for a in range(0, len(v), 1024)])
+                cell[rows] = np.where(np.abs(v).sum(1) > 0, near, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     return vectors.mapInArrow(run, f"{fields}, cell int")
@@ -102,3 +103,8 @@ def cell_search(file: DataFrame, cells: Cells, model: str, query: Sequence[float
     q = np.asarray(query, np.float64)
     wanted = [] if not len(q) or not len(cells.centres) else np.argsort(-(cells.centres @ q), kind="stable")[: cells.probes].tolist()
     return semantic_search(file.filter(F.col("cell").isin(wanted)), model, query, scope, limit, least)
+
+
+def cell_search_all(file: DataFrame, cells: Cells, model: str, queries: DataFrame, scope: Scope, limit: int = 20, least: float = -1.0) -> DataFrame:
+    """``cell_search`` for every query of a table (query_id, embedding) in one pass over the file, each in the cells nearest to it; as ``semantic.search_all``."""
+    return search_all(file, queries, limit, least, model=model, scope=scope, cells=(cells.centres, cells.probes))
