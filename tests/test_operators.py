@@ -1,5 +1,7 @@
 """Retrieval operators on small tables, edge cases first."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -264,3 +266,74 @@ def test_top_holds_no_more_than_its_limit():
         q, _, keys = top.rows()
         assert sorted(zip(q.tolist(), keys["k"].to_pylist(), strict=True))[:limit] == [(0, f"{i:04d}") for i in range(limit)]
     assert Top(1, 3, 9).rows() is None
+
+
+def test_diversified_ties():
+    """Hits as near to the query as to the first hit are equal, whatever the last bit of either figure."""
+    scores = [1.0, 0.37, 0.36, 0.33]
+    near = {(i, 0): s + e for i, s, e in ((1, 0.37, 1e-16), (2, 0.36, -1e-16), (3, 0.33, -2e-16))}
+    assert fusion.diversified(scores, lambda i, j: near.get((i, j), 0.0), 4, 0.5) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("block", [64 << 20, 1 << 12])
+def test_search_all_is_bounded(spark, block):
+    """Many equal vectors, of which the first by key stay; long queries; vectors in several batches. No product of all queries with a batch is made, and no task passes on more than its best."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 16)).astype(np.float32)
+    v = np.concatenate([v, np.repeat(v[:1], 60, 0)])
+    ids_ = [f"{i:03d}" for i in rng.permutation(len(v))]
+    df = spark.createDataFrame([("t", i, "m", "en", x.tolist()) for i, x in zip(ids_, v, strict=True)], VEC).repartition(3)
+    asked = df.select(F.col("entity_id").alias("query_id"), "embedding")
+    found = semantic.search_all(df, asked, 4, block_bytes=block)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {}
+    for i, own in enumerate(ids_):
+        s = np.einsum("ij,j->i", u, u[i]).round(12)
+        want |= {(own, k + 1): ids_[j] for k, j in enumerate(sorted(range(len(v)), key=lambda j: (-s[j], ids_[j]))[:4])}
+    assert {(r["query_id"], r["rank"]): r["entity_id"] for r in found.collect()} == want
+
+
+def test_search_block_holds_little():
+    """What a task holds grows neither with the vectors nor with the size of a batch."""
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(3000, 8))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    block = semantic._Block(np.arange(len(q)), q, 2, -1.0)
+    tracemalloc.start()
+    for a in range(3):
+        n = 20_000
+        keys = pa.RecordBatch.from_arrays([pa.array([f"{a}-{i}" for i in range(n)])] * 4, ["a", "b", "c", "d"])
+        block.add(keys, np.arange(n), rng.normal(size=(n, 8)))
+        assert block.top.n <= 3 * block.top.most
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # all products at once would be 480 MB
+
+
+def test_groups_are_expected_without_pairs(spark):
+    got = spark.createDataFrame([("a", 1, "t", "1"), ("a", 2, "t", "3"), ("b", 1, "t", "1"), ("b", 2, "t", "2"), ("c", 1, "t", "9"), ("e", 1, "t", "1")], "query_id string, rank int, entity_type string, entity_id string")
+    asked = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 2), ("b", 2)], "query_id string, label int")
+    items = spark.createDataFrame([("t", "1", 1), ("t", "2", 2), ("t", "3", 1), ("t", "4", 2), ("t", "5", None), ("t", "2", 2)], "entity_type string, entity_id string, label int")
+    pairs = asked.join(items, "label").select("query_id", "entity_type", "entity_id")
+    found = E.evaluate_groups(got, asked, items, 1, "label")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, E.evaluate(got, pairs, 1).collect()))
+    assert not [r for r in found.collect() if r["query_id"] == "a" and r["recall"] != 0.5]
+
+
+def test_cell_search_all(spark, tmp_path):
+    """A table of queries finds what each finds by itself, in one plan."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame([("t", f"{i:03d}", "m", "en", x.tolist()) for i, x in enumerate(v)] + [("t", "zero", "m", "en", [0.0] * 8)], VEC)
+    cells = ann.fit_cells(df)
+    cells = ann.Cells(cells.centres, 4)
+    file = ann.write_cells(df, cells, f"{tmp_path}/cells")
+    asked = df.filter("entity_id < '020'").select(F.col("entity_id").alias("query_id"), "embedding")
+    got = {}
+    for r in ann.cell_search_all(file, cells, "m", asked, Scope("en"), 5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["entity_id"]
+    for i in range(20):
+        want = [r["entity_id"] for r in ann.cell_search(file, cells, "m", v[i].astype(float).tolist(), Scope("en"), 5).collect()]
+        assert [got[f"{i:03d}"][k + 1] for k in range(len(want))] == want
+    none = ann.fit_cells(df.filter("false"))
+    assert ann.cell_search_all(ann.filed(df, none), none, "m", asked, Scope("en"), 5).count() == 0
