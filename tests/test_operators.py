@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sqlcheck import SF
 
 from lodestar.operators import evaluation as E
+from lodestar.functions import text as T
 from lodestar.functions import trigrams as G
 from lodestar.functions import vectors as V
 from lodestar.operators import ann, fusion, keyword, semantic
@@ -337,3 +338,16 @@ def test_cell_search_all(spark, tmp_path):
         assert [got[f"{i:03d}"][k + 1] for k in range(len(want))] == want
     none = ann.fit_cells(df.filter("false"))
     assert ann.cell_search_all(ann.filed(df, none), none, "m", asked, Scope("en"), 5).count() == 0
+
+
+def test_stores_hold_what_is_read(spark):
+    """A query of words alone stores no postings; sets of many texts are those of each text."""
+    X._stored.clear()
+    X.documents(spark, SF, "english")
+    assert [k[1] for k in X._stored] == ["documents"] and "trigrams" in X.documents(spark, SF).columns
+    texts = [None, "", " -- ", "a", "two words, two", "東京 ab_c", "x" * 50, "\U0001f600 \U00020000z é", None]
+    assert [x if x is None else sorted(x) for x in G.sets_of(texts).to_pylist()] == [None if t is None else sorted(G.trigrams_of(t)) for t in texts]
+    assert G.sets_of([]).to_pylist() == []
+    forms = ["Ærø ß œuvre ½ ŉ", "plain TEXT", "déjà vu", "Ǆ ŋ þ", None]
+    got = spark.createDataFrame([(t,) for t in forms], "t string").select(T.fold_latin("t")).collect()
+    assert [r[0] for r in got] == [None if t is None else T.fold(t) for t in forms]
