@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import unit_of
+from lodestar.operators.common import small_batches
 from lodestar.operators.fusion import partial_batches
 from lodestar.sources import documents as D
 from lodestar.sources import schemas
@@ -101,21 +102,27 @@ class Runtime:
         task. Vectors come at length 1.
 
         ``calls`` partitions run at once, each with that part of ``per_second`` as its own bucket
-        of one token: together they make no more than ``per_second``, after a burst of ``calls``.
+        of one token: together they make no more than ``per_second``, after a burst of ``calls``. A text comes once for
+        all models of its entity, and each partition gets its even share of the entities.
         """
         calls = max(1, calls)
-        rows = leased.join(texts.select(*ENTITY, "text"), ENTITY, "left").select(*Q.KEY, F.col("next_run_at").alias("lease"), "attempts", "text")
+        own = leased.groupBy(*ENTITY).agg(F.to_json(F.collect_list(F.struct("model", F.unix_micros("next_run_at").alias("lease"), "attempts"))).alias("tasks"))
+        rows = own.join(texts.select(*ENTITY, "text"), ENTITY, "left").select(*ENTITY, "tasks", "text")
         if self.asset_urls is not None:
-            rows = rows.join(self.asset_urls.select("entity_type", "entity_id", "assets"), ["entity_type", "entity_id"], "left").select(*Q.KEY, "lease", "attempts", "text", F.to_json("assets").alias("assets"))
+            rows = rows.join(self.asset_urls.select("entity_type", "entity_id", "assets"), ["entity_type", "entity_id"], "left").select(*ENTITY, "tasks", "text", F.to_json("assets").alias("assets"))
         else:
             rows = rows.withColumn("assets", F.lit(None).cast("string"))
-        rows = rows.repartition(calls, "model", F.pmod(F.xxhash64(*Q.KEY), F.lit(calls)))
-        schema = ", ".join([*(f"{k} string" for k in Q.KEY), "lease timestamp", "attempts int", "embedding array<float>", "error string", "status int", "missing boolean"])
+        rows = small_batches(rows.repartitionById(calls, F.pmod(F.xxhash64(*ENTITY), F.lit(calls)).cast("int")))
+        schema = ", ".join([*(f"{k} string" for k in Q.KEY), "lease long", "attempts int", "embedding array<float>", "error string", "status int", "missing boolean"])
         text, assets, dims = dict(self.text), dict(self.assets), dict(dims or {})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bucket = Bucket(per_second / calls)
-            for batch in batches:
+            for entities in batches:
+                tasks = entities["tasks"].map(json.loads)
+                batch = entities.drop(columns="tasks").loc[entities.index.repeat(tasks.map(len))].reset_index(drop=True)
+                for name in ("model", "lease", "attempts"):
+                    batch[name] = pd.Series([t.get(name) for of in tasks for t in of], dtype=object)
                 lists = batch["assets"].map(lambda x: json.loads(x) if isinstance(x, str) else [])
                 takes = batch["model"].isin(list(assets))
                 blank = (batch["text"].fillna("").str.strip() == "") | (takes & (lists.map(len) == 0))
@@ -148,7 +155,7 @@ class Runtime:
                         out.loc[group.index, "error"] = f"no provider for {model!r}"
                 yield out
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInPandas(run, schema).withColumn("lease", F.timestamp_micros("lease"))
 
     def embed_entities(self, keys: DataFrame, texts: DataFrame, model: str, dims: Mapping[str, int] | None = None, calls: int = 8) -> DataFrame:
         """``embed`` outside the task queue, for keys (entity_type, entity_id, language) and one model, which must have a provider: the results without lease and attempts."""

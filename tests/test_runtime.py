@@ -112,3 +112,21 @@ def test_queues_write_only_changes(spark, tmp_path):
         assert S.drain(store, texts, Runtime({"m": HashProvider(4)}), S.SyncOptions(task_batch=5), ts(LATER)) == 5
         assert store._pointer("embedding_tasks")["version"] == version
     assert store.read("embedding_tasks").count() == 5000 - 55 and store.read("embedding_vectors").count() == 55
+
+
+def test_embedding_partitions_share_evenly(spark):
+    """A text comes once for all of its models, and no partition gets more than about its share."""
+    from pyspark.sql import functions as F
+
+    from lodestar.sources.providers import HashProvider
+    from lodestar.streaming.runtime import Runtime
+
+    texts = spark.range(800).select(F.lit("t").alias("entity_type"), F.col("id").cast("string").alias("entity_id"), F.lit("en").alias("language"), F.concat(F.lit("text "), "id").alias("text"))
+    models = spark.createDataFrame([("a",), ("b",), ("c",)], "model string")
+    tasks = texts.drop("text").crossJoin(models).withColumn("next_run_at", F.lit("2024-01-20 00:00:00").cast("timestamp")).withColumn("attempts", F.lit(2))
+    got = Runtime({m: HashProvider(4) for m in "abc"}).embed(tasks, texts, calls=8)
+    rows = got.withColumn("p", F.spark_partition_id()).collect()
+    sizes = [sum(r["p"] == p for r in rows) for p in range(8)]
+    assert sum(sizes) == 2400 and min(sizes) > 150 and max(sizes) < 450
+    assert len({(r["entity_id"], r["p"]) for r in rows}) == 800
+    assert {(r["lease"].isoformat(), r["attempts"], r["error"], len(r["embedding"])) for r in rows} == {("2024-01-20T00:00:00", 2, None, 4)}
